@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 from pixelweave.llm.audio import op1_audio_features
-
-QUERIES = {"op1_audio_features": op1_audio_features}
+from pixelweave.llm.quality import op4_quality
+from pixelweave.llm.sketch import op2_fingerprints
+
+QUERIES = {
+    "op1_audio_features": op1_audio_features,
+    "op2_fingerprints": op2_fingerprints,
+    "op4_quality": op4_quality,
+}
 
 ORACLE_SQL: dict[str, str] = {}
