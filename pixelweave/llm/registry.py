@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from pixelweave.llm.audio import op1_audio_features
+from pixelweave.llm.chat import OP8_SQL, op8_chat
 from pixelweave.llm.quality import op4_quality
+from pixelweave.llm.simhash import op7_simhash
 from pixelweave.llm.sketch import op2_fingerprints
 
 QUERIES = {
     "op1_audio_features": op1_audio_features,
     "op2_fingerprints": op2_fingerprints,
     "op4_quality": op4_quality,
+    "op7_simhash": op7_simhash,
+    "op8_chat": op8_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL}
