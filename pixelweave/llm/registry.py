@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pixelweave.llm.audio import op1_audio_features
 from pixelweave.llm.chat import OP8_SQL, op8_chat
+from pixelweave.llm.packing import op5_packing
+from pixelweave.llm.pieces import op3_sentencepiece
 from pixelweave.llm.quality import op4_quality
 from pixelweave.llm.simhash import op7_simhash
 from pixelweave.llm.sketch import op2_fingerprints
@@ -11,7 +13,9 @@ from pixelweave.llm.sketch import op2_fingerprints
 QUERIES = {
     "op1_audio_features": op1_audio_features,
     "op2_fingerprints": op2_fingerprints,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
 }
