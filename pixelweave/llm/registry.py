@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pixelweave.llm.audio import op1_audio_features
 from pixelweave.llm.chat import OP8_SQL, op8_chat
+from pixelweave.llm.language import op10_language
 from pixelweave.llm.packing import op5_packing
 from pixelweave.llm.pieces import op3_sentencepiece
+from pixelweave.llm.pii import op9_pii
 from pixelweave.llm.quality import op4_quality
 from pixelweave.llm.simhash import op7_simhash
 from pixelweave.llm.sketch import op2_fingerprints
@@ -18,6 +20,8 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
+    "op9_pii": op9_pii,
+    "op10_language": op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL}
