@@ -24,7 +24,7 @@ from pixelweave.llm.common import SUB_BATCH, read, staged, text_or_empty
 
 LANGUAGES = ("de", "en", "es", "fr")
 CELLS = 1 << 15
-SCALE, FLOOR, LEAST = 0.3, -9.5, 3
+SCALE, FLOOR, LEAST = 0.3, -9.5, 1
 #: Weight of the level above in a level's prior, in rows.
 ABOVE = 20.0
 SALTS = 32
