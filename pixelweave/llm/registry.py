@@ -8,6 +8,7 @@ from pixelweave.llm.language import op10_language
 from pixelweave.llm.packing import op5_packing
 from pixelweave.llm.pieces import op3_sentencepiece
 from pixelweave.llm.pii import op9_pii
+from pixelweave.llm.pitman_yor import op6_pitman_yor
 from pixelweave.llm.quality import op4_quality
 from pixelweave.llm.simhash import op7_simhash
 from pixelweave.llm.sketch import op2_fingerprints
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_pitman_yor": op6_pitman_yor,
     "op7_simhash": op7_simhash,
     "op8_chat": op8_chat,
     "op9_pii": op9_pii,
