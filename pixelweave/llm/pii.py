@@ -15,14 +15,13 @@ exclusive. Null texts are empty and have no spans; repeated rows have equal span
 from __future__ import annotations
 
 import dataclasses
-import hashlib
 import json
 import math
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelweave.llm.common import map_arrow, read, text_or_empty
@@ -367,8 +366,13 @@ def redacted(text: str, found: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def redaction(field: Field, text: Column) -> Column:
+    """The redacted text; null stays null."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else redacted(t, spans(t, field)[1]) for t in texts.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

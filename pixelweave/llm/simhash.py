@@ -228,6 +228,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bits
     return own.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select(key, "fp", "component_id")
 
 
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS, wide: int = WORDS) -> DataFrame:
+    """One row of each near-duplicate group: that with the least key (nulls last), of equal ones the least by its columns."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t or "", wide) for t in texts.to_pylist()], np.uint64).view(np.int64))
+
+    rows = docs.select(F.arrow_udf(run, "bigint")(text_or_empty(text)).alias("fp"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.struct(*docs.columns).alias("row")).alias("doc"))
+    nodes = staged(rows.groupBy("fp").agg(F.min("doc").alias("doc")), "nodes")
+    roots = components(links(nodes, bits))
+    placed = nodes.select("fp", F.col("doc.none").alias("none"), F.col("doc.key").alias("key")).join(roots, F.col("fp") == F.col("node"), "left")
+    first = placed.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("none", "key", "fp")).alias("first")).select(F.col("first.fp").alias("fp"))
+    return nodes.join(first, "fp", "left_semi").select("doc.row.*")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
