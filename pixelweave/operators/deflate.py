@@ -18,7 +18,7 @@ from pixelweave.operators import huffman
 from pixelweave.operators.inflate import CODE_ORDER, DISTANCE_BASE, DISTANCE_EXTRA, FIXED_LENGTHS, LENGTH_BASE, LENGTH_EXTRA
 
 STORE, FAST, DEFAULT, BEST, ULTRA = 0, 1, 6, 9, 12
-DEPTH = {FAST: 128, DEFAULT: 1024, BEST: 2048, ULTRA: 8192}
+DEPTH = {FAST: 16, DEFAULT: 64, BEST: 128, ULTRA: 256}
 WINDOW, LONGEST, NICE = 32768, 258, 32
 _TRIED = [*range(3, NICE + 1), *[b - 1 for b in LENGTH_BASE if b > NICE + 1]]
 
