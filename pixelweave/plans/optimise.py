@@ -1,8 +1,8 @@
 """The encoding search as staged DataFrames: images, variants, filter jobs, candidates, one-pass sizes, finalists, verified files.
 
 The unit of work grows from the candidates of one image to those of all images: each stage deals its rows out by
-(image_id, ordinal), and only arrays that a stage needs travel. No stage collects; ranks are windows over the few
-candidates of an image.
+(image_id, ordinal), and only arrays that a stage needs travel. Decoded images, variants, sizes and encodings are
+staged, so no costly step runs twice. No stage collects; ranks are windows over the few candidates of an image.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pixelweave import model
 from pixelweave.operators import compress, filters, recolour
 from pixelweave.sources import png
+from pixelweave.sources.staging import staged
 
 STRATEGY = "ordinal int, filter_level int, deflate_level int, passes int, alpha boolean, reduce boolean, sort boolean"
 
@@ -44,10 +45,12 @@ def optimise(files: DataFrame, level: int = 9, strip: bool = False, key: str = "
     n = spark.conf.get("spark.sql.shuffle.partitions")
     deal = lambda df, *by: df.repartition(int(n), *by)
     source = files.select(F.col(key).alias("image_id"), F.col("content").alias("original")).withColumn("image", png.decoded(F.col("original")))
+    source = staged(source, "decoded")
     good = source.where(F.col("image.error").isNull())
     prepared = _udf(lambda v: model.to_row(recolour.strip_metadata(_image(v)) if strip else _image(v)), model.IMAGE_SCHEMA, F.col("image"))
     entropy = _udf(lambda v: recolour.content(_image(v))["entropy_r"], "double", F.col("image"))
     good = good.select("image_id", "image", prepared.alias("own"), entropy.alias("entropy_r"), F.octet_length("image.pixels").alias("bytes"))
+    good = staged(good, "prepared")
 
     # variants: one for each distinct set of steps, then one for each distinct picture
     large, noisy = F.col("bytes") >= compress.LARGE, F.col("entropy_r") > 7.5
@@ -60,7 +63,7 @@ def optimise(files: DataFrame, level: int = 9, strip: bool = False, key: str = "
     built = built.select("image_id", "alpha", "reduce", "sort", "first", made.alias("variant"))
     v = F.col("variant")
     mark = F.sha2(F.concat(F.concat_ws(":", v["color_type"], v["bit_depth"], F.octet_length(v["pixels"]), F.octet_length(v["palette"]), F.octet_length(v["alpha_palette"])).cast("binary"), v["pixels"], v["palette"], v["alpha_palette"], F.coalesce(v["single"]["tRNS"], F.lit(b""))), 256)
-    built = built.withColumn("mark", mark)
+    built = staged(built.withColumn("mark", mark), "variants")
     names = built.groupBy("image_id", "mark").agg(F.min("first").alias("variant_id"), F.min_by("variant", "first").alias("variant"))
     of_steps = built.select("image_id", "alpha", "reduce", "sort", "mark").join(names.select("image_id", "mark", "variant_id"), ["image_id", "mark"])
 
@@ -90,6 +93,7 @@ def optimise(files: DataFrame, level: int = 9, strip: bool = False, key: str = "
         return compress.proxy_size(_image(image), np.frombuffer(choice.as_py(), np.uint8).astype(np.int64), deflate_level.as_py())
 
     costed = deal(unique.join(variants, ["image_id", "variant_id"]), "image_id", "ordinal").withColumn("proxy", _udf(proxy, "bigint", F.col("variant"), F.col("choice"), F.col("deflate_level"))).drop("variant")
+    costed = staged(costed, "sizes")
     top = finalists(costed.join(good.select("image_id", "bytes"), "image_id"))
 
     # full encodings, verified against the image as it was read
@@ -98,6 +102,7 @@ def optimise(files: DataFrame, level: int = 9, strip: bool = False, key: str = "
 
     last = deal(top.join(variants, ["image_id", "variant_id"]), "image_id", "ordinal")
     last = last.select("image_id", "rank", "strategy", _udf(full, "binary", F.col("variant"), F.col("choice"), F.col("deflate_level"), F.col("passes"), F.col("bytes")).alias("png"))
+    last = staged(last, "finalists")
     last = last.join(good.select("image_id", "image"), "image_id")
     why = _udf(lambda data, image: compress.verify(data.as_py(), _image(image)) or "", "string", F.col("png"), F.col("image"))
     last = last.select("image_id", "rank", "strategy", "png", why.alias("why")).where("why = ''")
@@ -137,9 +142,10 @@ def finalists(costed: DataFrame) -> DataFrame:
     r = r.withColumn("one", F.size(F.collect_set(F.when(F.col("rank") <= F.col("k"), F.col("variant_id"))).over(own)) == 1)
     leader = F.max(F.when(F.col("rank") == 1, F.col("variant_id"))).over(own)
     r = r.withColumn("other", F.min(F.when(F.col("variant_id") != leader, F.col("rank"))).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    count = F.least(F.max("rank").over(own), F.col("k"))
-    swap = F.col("one") & F.col("other").isNotNull() & (count > 1)
-    return r.where(F.when(swap, (F.col("rank") < count) | (F.col("rank") == F.col("other"))).otherwise(F.col("rank") <= F.col("k"))).drop("k", "one", "other")
+    r = r.withColumn("count", F.least(F.max("rank").over(own), F.col("k")))
+    swap = F.col("one") & F.col("other").isNotNull() & (F.col("count") > 1)
+    kept = F.when(swap, (F.col("rank") < F.col("count")) | (F.col("rank") == F.col("other"))).otherwise(F.col("rank") <= F.col("k"))
+    return r.where(kept).drop("k", "one", "other", "count")
 
 
 def totals(report: DataFrame) -> DataFrame:

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from pixelweave.plans import queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries.QUERIES
+ORACLE_SQL: dict[str, str] = queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    return queries.minsum_filters(spark, sf_dir)
