@@ -31,13 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import map_arrow, partitions, read, released, staged, text_or_empty
+from pixelweave.llm.common import dropped, map_arrow, partitions, read, released, staged, text_or_empty
 
 DISCOUNT, STRENGTH = 0.9, 2.0  # of the contexts' restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 EPOCHS, BURN, SAMPLES = 2, 2, 3
 EXACT = 512
-BLOCK = 1_500_000  # tokens of a block, about
+BLOCK = 2_200_000  # tokens of a block, about
+BUCKETS = 2  # for each shuffle partition
 END = b" "  # no word has a space
 
 
@@ -459,7 +460,7 @@ def _bucket(h: str, parts: int) -> Column:
 
 def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = df.sparkSession
-    parts = partitions(spark)
+    parts = BUCKETS * partitions(spark)
     blocks = staged(df.select(F.col(key).cast("bigint"), text_or_empty(text)).mapInArrow(_make_blocks, BLOCKS), "blocks")
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,12 +477,13 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     frequent = [r["h"] for r in words.where(F.col("n") > total / (4 * parts)).select("h").collect()]  # at most 4 * parts
     hot = np.array(frequent, np.int64).view(np.uint64)
 
-    met = staged(_delivered(blocks.mapInArrow(_send_pairs(parts, hot), MESSAGE), parts).mapInArrow(_meet, MESSAGE), "met")
+    met = staged(_delivered(blocks.mapInArrow(_send_pairs(parts, hot), MESSAGE), parts).mapInArrow(_meet, MESSAGE), "met", by="kind")
     released(spark)
     contexts = _rows_of(met, 2, {"u": int, "once": int, "often": int})
     spread = {r["u"]: r["d"] for r in contexts.where(F.col("u").isin(frequent)).groupBy("u").agg(F.sum(F.col("once") + F.col("often")).alias("d")).collect()} if frequent else {}
     often = _rows_of(met, 1, {"u": int, "w": int, "c": int, "tables": int}).withColumn("t", F.lit(1).cast("bigint"))
     once = staged(_rows_of(met, 3, {"w": int, "n": int}).groupBy("w").agg(F.sum("n").alias("n")), "once")
+    dropped(met, "kind=3")
     base = 1 / (vocabulary + 1)
     tables = float(vocabulary)
 
@@ -492,14 +494,19 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         root = staged(_root(customers, base, tables, turn, samples), "root")
         everyone, tables = (float(x or 0) for x in root.agg(F.sum("k"), F.sum("mean")).first())
         left = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) * base
-        return root.select("w", ((F.col("k") - ROOT_DISCOUNT * F.col("mean") + left) / (ROOT_STRENGTH + everyone)).alias("p")), left / (ROOT_STRENGTH + everyone)
+        shares = root.select("w", ((F.col("k") - ROOT_DISCOUNT * F.col("mean") + left) / (ROOT_STRENGTH + everyone)).alias("p"))
+        shares.staged_at = root.staged_at
+        return shares, left / (ROOT_STRENGTH + everyone)
 
     for epoch in range(EPOCHS):
         root, _ = seated_root(often, 1000 * epoch, 1)
+        before = often
         rows = often.select("bucket", "place", "u", "w", "c", "tables", "t").join(root, "w").select("bucket", "place", "u", "w", "c", "tables", "t", F.col("p").alias("base"))
         rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
         schema = "bucket bigint, place bigint, u bigint, w bigint, c bigint, tables bigint, t bigint, mean double"
         often = staged(rows.mapInArrow(_restaurants(epoch, spread, epoch == EPOCHS - 1), schema), "seated")
+        dropped(*((before,) if epoch else (met, "kind=1")))
+        dropped(root)
         released(spark)
     root, unknown = seated_root(often, 1000 * EPOCHS, SAMPLES)
 
@@ -513,6 +520,9 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     places = replies.where("octet_length(b) > 0").select("kind", "bucket", "block", F.col("b").alias("a"), *[F.lit(None).cast("binary").alias(c) for c in "bcd"])
     asked = word_tables.unionByName(value_tables).unionByName(blocks.mapInArrow(_ask(parts), MESSAGE)).unionByName(places)
     answers = staged(_delivered(asked, parts).mapInArrow(_answers, MESSAGE), "answers")
+    for table in (root, often, once, words):
+        dropped(table)
+    dropped(met, "kind=2")
     released(spark)
 
     nothing = F.lit(None).cast("binary")
