@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.llm.common import SUB_BATCH, partitions, read, text_or_empty
 
-K, WORDS = 256, 5
+K, WORDS = 512, 5
 #: Words whose hashes a worker remembers.
 REMEMBERED = 300_000
 
