@@ -24,12 +24,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets ``lang`` to the language found and drops documents without any."""
     keys = ["doc_id", "source", "mark"]
-    marked = docs.withColumn("mark", F.xxhash64(text_or_empty()))
+    mark = F.xxhash64(text_or_empty())
     rows = language.from_documents(docs).withColumns({"source": F.col("host"), "mark": F.xxhash64("text")})
     found = language.identified(rows, language.trained(docs), keys).where("lang <> 'und'")
-    found = found.groupBy(*keys).agg(F.first("lang").alias("found")).select(*[F.col(k).alias(f"of_{k}") for k in keys], "found")
-    same = [marked[k].eqNullSafe(found[f"of_{k}"]) for k in keys]
-    return marked.join(found, same[0] & same[1] & same[2]).select(*[F.col("found").alias("lang") if c == "lang" else marked[c] for c in docs.columns])
+    found = found.groupBy(*keys).agg(F.first("lang").alias("found"))
+    whole = docs.select(F.struct(*docs.columns).alias("row"), mark.alias("mark"))
+    same = whole["row.doc_id"].eqNullSafe(found["doc_id"]) & whole["row.source"].eqNullSafe(found["source"]) & (whole["mark"] == found["mark"])
+    return whole.join(found, same).select(*[found["found"].alias("lang") if c == "lang" else whole["row"][c].alias(c) for c in docs.columns])
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
