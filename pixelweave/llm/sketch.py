@@ -73,15 +73,16 @@ def distinct(s: np.ndarray) -> float:
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Common hashes among all up to where both sketches are complete: K of their union at least, all if neither was cut."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.concatenate([a, b])
     both.sort()
-    twice = both[1:] == both[:-1]
-    n = min(K, len(both) - int(twice.sum()))
-    # the n-th smallest of the union bounds the sample
-    rank = np.arange(len(twice)) - np.concatenate([[0], np.cumsum(twice)[:-1]])
-    return float((twice & (rank < n)).sum()) / n
+    cut = [s[-1] for s in (a, b) if len(s) >= K]
+    if cut:
+        both = both[: np.searchsorted(both, min(cut), "right")]
+    twice = int((both[1:] == both[:-1]).sum())
+    return twice / (len(both) - twice)
 
 
 def containment(a: np.ndarray, b: np.ndarray) -> float:
