@@ -177,7 +177,7 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     placed = rows.withColumn("place", F.arrow_udf(place, "struct<at:int,also:int>")(F.col("id")))
     to = F.when(F.col("place.also") < 0, F.array(F.struct(F.col("place.at").alias("bucket"), F.lit(False).alias("tail")))).otherwise(F.array(F.struct(F.col("place.at").alias("bucket"), F.lit(False).alias("tail")), F.struct(F.col("place.also").alias("bucket"), F.lit(True).alias("tail"))))
     dealt = placed.select(F.explode(to).alias("to"), "id", "text").select("to.bucket", "to.tail", "id", "text")
-    return dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "tail", "id", "text")
+    return dealt.repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket", "tail", "id", "text")
 
 
 def edited(text: str, following: str) -> str:
