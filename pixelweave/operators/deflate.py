@@ -88,28 +88,30 @@ class Finder:
         return found
 
     def _search(self, i: int) -> list[Token]:
-        data, most = self.data, min(LONGEST, len(self.data) - i)
+        """Along the chain, nearest first; once a match is NICE a few more steps do. Probes serve where the chain was left early."""
+        data, before, most = self.data, self.before, min(LONGEST, len(self.data) - i)
         out: list[Token] = []
         if most < 3:
             return out
-        best, steps, limit = 2, self.options.steps, i - WINDOW
-        probes = [i - d for d in self.near if d <= min(i, WINDOW)]
-        j, p = self.before[i], 0
-        while best < most:
-            # the nearer of the next chain entry and the next probe
-            if p < len(probes) and (j < limit or j < 0 or probes[p] > j):
-                k, p = probes[p], p + 1
-            elif j >= 0 and j >= limit and steps:
-                if p < len(probes) and probes[p] == j:
-                    p += 1
-                k, j, steps = j, self.before[j], steps - 1
-            else:
-                break
-            if data[k + best] == data[i + best] and data[k : k + best] == data[i : i + best]:
-                n = self.common(i, k, most, best)
+        best, steps, limit = 2, self.options.steps, max(0, i - WINDOW)
+        j, last = before[i], i
+        while j >= limit and steps:
+            if data[j + best] == data[i + best] and data[j : j + best] == data[i : i + best]:
+                n = self.common(i, j, most, best)
                 if n > best:
                     best = n
-                    out.append((n, i - k))
+                    out.append((n, i - j))
+                    if best == most:
+                        return out
+                    if best >= NICE:
+                        steps = min(steps, 16)
+            last, j, steps = j, before[j], steps - 1
+        if not steps:
+            for d in self.near:
+                k = i - d
+                if limit <= k < last and best < most and data[k : k + best + 1] == data[i : i + best + 1]:
+                    best = self.common(i, k, most, best)
+                    out.append((best, d))
         return out
 
     def longest(self, i: int) -> Token:
@@ -177,20 +179,39 @@ def prices(tokens: list[Token], turn: int) -> tuple[list[int], list[int]]:
 
 
 def optimal(finder: Finder, literal: list[int], distance: list[int], start: int = 0, end: int | None = None) -> list[Token]:
-    """The cheapest path over positions; of equal ones matches before literals, longer and nearer ones first."""
+    """The cheapest path over positions; of equal ones matches before literals, longer and nearer ones first.
+
+    Where a match of the longest size begins, it is taken whole and the search goes on shortly before its end.
+    """
     data, end = finder.data, len(finder.data) if end is None else end
     n = end - start
     by_length = [0, 0, 0] + [literal[257 + LENGTH_CODE[k]] + 1024 * LENGTH_EXTRA[LENGTH_CODE[k]] for k in range(3, 259)]
     by_code = [distance[c] + 1024 * DISTANCE_EXTRA[c] for c in range(30)]
     cost = [0] + [1 << 60] * n
     came: list[Token] = [(0, 0)] * (n + 1)
+    ahead = 0
     for i in range(n):
         now = cost[i]
+        if i < ahead or now >= 1 << 60:
+            continue  # within a longest match that is taken as it is
+        found = finder.at(start + i)
+        if found and found[-1][0] == LONGEST <= n - i:
+            size, d = found[-1]
+            step = now + by_length[size] + by_code[distance_code(d)]
+            if step <= cost[i + size]:
+                cost[i + size], came[i + size] = step, (size, d)
+            ahead = i + LONGEST - NICE
+            if ahead > i + 1 and cost[i + LONGEST] < 1 << 60:
+                for j in range(i + 1, ahead + 1):  # literals lead to where the search goes on
+                    step = cost[j - 1] + literal[data[start + j - 1]]
+                    if step < cost[j]:
+                        cost[j], came[j] = step, (data[start + j - 1], 0)
+            continue
         step = now + literal[data[start + i]]
         if step < cost[i + 1]:
             cost[i + 1], came[i + 1] = step, (data[start + i], 0)
         size = 3
-        for most, d in finder.at(start + i):
+        for most, d in found:
             most = min(most, n - i)
             base = now + by_code[distance_code(d)]
             # beyond NICE only code borders and the whole length are tried
