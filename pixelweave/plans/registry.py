@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelweave.plans import queries
+from pixelweave.plans import files, queries  # noqa: F401  files registers its queries on import
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = queries.QUERIES
 ORACLE_SQL: dict[str, str] = queries.SQL
