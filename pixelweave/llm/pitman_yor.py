@@ -221,7 +221,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
 
 
 def _delivered(messages: DataFrame, parts: int) -> DataFrame:
-    return messages.repartition(parts, "bucket").sortWithinPartitions("bucket", "block", "kind")
+    return messages.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block", "kind")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,7 +502,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         root, _ = seated_root(often, 1000 * epoch, 1)
         before = often
         rows = often.select("bucket", "place", "u", "w", "c", "tables", "t").join(root, "w").select("bucket", "place", "u", "w", "c", "tables", "t", F.col("p").alias("base"))
-        rows = rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        rows = rows.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
         schema = "bucket bigint, place bigint, u bigint, w bigint, c bigint, tables bigint, t bigint, mean double"
         often = staged(rows.mapInArrow(_restaurants(epoch, spread, epoch == EPOCHS - 1), schema), "seated")
         dropped(*((before,) if epoch else (met, "kind=1")))
@@ -513,9 +513,9 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     opened = contexts.select("u", F.col("once").cast("double").alias("t")).unionByName(often.select("u", F.col("mean").alias("t"))).groupBy("u").agg(F.sum("t").alias("t"))
     known = words.join(root.withColumnRenamed("w", "h"), "h", "left").join(opened.withColumnRenamed("u", "h"), "h", "left")
     known = known.select(_bucket("h", parts).alias("bucket"), "h", "n", F.coalesce("p", F.lit(unknown)).alias("p"), F.coalesce("t", F.lit(0.0)).alias("t"))
-    word_tables = known.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_packed_words, MESSAGE)
+    word_tables = known.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_packed_words, MESSAGE)
     values = often.select("bucket", "place", (F.col("c") - DISCOUNT * F.col("mean")).alias("value"))
-    value_tables = values.repartition(parts, "bucket").sortWithinPartitions("bucket", "place").mapInArrow(_packed_values, MESSAGE)
+    value_tables = values.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "place").mapInArrow(_packed_values, MESSAGE)
     replies = met.where("kind = 0")
     places = replies.where("octet_length(b) > 0").select("kind", "bucket", "block", F.col("b").alias("a"), *[F.lit(None).cast("binary").alias(c) for c in "bcd"])
     asked = word_tables.unionByName(value_tables).unionByName(blocks.mapInArrow(_ask(parts), MESSAGE)).unionByName(places)
