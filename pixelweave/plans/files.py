@@ -188,3 +188,30 @@ def validation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = spark.createDataFrame(_cases(), "name string, content binary")
     image = F.col("image")
     return png.images(files).select("name", image["error"].isNull().alias("accepted"), F.coalesce(F.when(image["error"].isNull(), F.size(image["warnings"])), F.lit(0)).alias("warnings"))
+
+
+@query(f"""WITH {GRAY_ROWS}, d AS (SELECT image_id, y, unnest(range(64)) AS x, unnest(line) AS v FROM rows), n AS (SELECT image_id, count(*) FILTER (WHERE v % 17 <> 0) AS differing, min(CASE WHEN v % 17 <> 0 THEN y * 64 + x END) AS pos FROM d GROUP BY image_id)
+  SELECT image_id, differing, pos // 64 AS y, pos % 64 AS x FROM n""")
+def first_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles against their quantised selves: how many pixels differ, and the first that does; scanlines meet by one join."""
+    a, b = tiles.gray(spark, sf_dir), tiles.quantised(spark, sf_dir).withColumnRenamed("row", "other")
+    bad = F.filter(F.transform("row", lambda v, k: F.when(v != F.get("other", k), F.col("y") * 64 + k)), lambda v: v.isNotNull())
+    both = a.join(b, ["image_id", "y"]).select("image_id", bad.alias("bad"))
+    sums = both.groupBy("image_id").agg(F.sum(F.size("bad")).alias("differing"), F.min(F.array_min("bad")).alias("at"))
+    return sums.select("image_id", "differing", F.floor(F.col("at") / 64).alias("y"), (F.col("at") % 64).alias("x"))
+
+
+@query(f"WITH {queries.BYTES}, c AS (SELECT doc_id, p // 65535 AS block, count(*) AS n, count(*) FILTER (WHERE v >= 144) AS high FROM bytes GROUP BY ALL) SELECT doc_id, block, 3 + 8 * n + high + 7 AS fixed_bits, 32 + 8 + 8 * n AS stored_bits, CASE WHEN 3 + 8 * n + high + 7 <= 40 + 8 * n THEN 'fixed' ELSE 'stored' END AS coding FROM c")
+def literal_block_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed or stored for each largest-size block of a text as literals; a stored one starts on a byte."""
+
+    def one(x: np.ndarray) -> list[dict]:
+        out = []
+        for k in range(0, len(x), 65535):
+            part = x[k : k + 65535]
+            fixed, stored = 10 + 8 * len(part) + int((part >= 144).sum()), 40 + 8 * len(part)
+            out.append({"block": k // 65535, "fixed_bits": fixed, "stored_bits": stored, "coding": "fixed" if fixed <= stored else "stored"})
+        return out
+
+    ddl = "array<struct<block:bigint,fixed_bits:bigint,stored_bits:bigint,coding:string>>"
+    return queries._per_text(spark, sf_dir, ddl, one).select("doc_id", F.explode("made").alias("b")).select("doc_id", "b.*")
