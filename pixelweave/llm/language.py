@@ -159,7 +159,7 @@ def from_pages(pages: DataFrame) -> DataFrame:
 
 def from_documents(docs: DataFrame) -> DataFrame:
     """Documents have a source in a host's place; markup in their text may declare a language."""
-    declared = F.nullif(F.lower(F.regexp_extract(text_or_empty(), r"(?i)<html[^<>]{0,200}?\blang\s*=\s*[\"']?([a-zA-Z]{2})", 1)), F.lit(""))
+    declared = F.nullif(F.lower(F.regexp_extract(text_or_empty(), r"(?i)<html[^<>]*?\blang\s*=\s*[\"']?([a-zA-Z]{2})", 1)), F.lit(""))
     return docs.select("doc_id", text_or_empty().alias("text"), declared.alias("declared"), F.col("source").alias("host"), F.col("source").alias("site"), F.lit("").alias("suffix"))
 
 

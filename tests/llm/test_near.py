@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from pixelweave.llm import near
+from pixelweave.llm import language, near
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -53,3 +53,9 @@ def test_stage_keeps_one_of_each_group(spark, monkeypatch, copies, block):
     df = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in rows], SCHEMA).repartition(3)
     got = [r["doc_id"] for r in corpus_pipeline.keep_first_copies(spark, df, "").collect()]
     assert len(got) == len(set(got)) and set(got) == kept_by_brute_force(rows)
+
+
+def test_declaration_after_long_attributes(spark):
+    text = '<html prefix="' + "og: http://ogp.me/ns# " * 30 + '" class="a" lang="de"><p>x'
+    df = spark.createDataFrame([(1, text, None, "a", 0), (2, "<html " + "x " * 300 + "<p lang='fr'>", None, "a", 0)], SCHEMA)
+    assert {r["doc_id"]: r["declared"] for r in language.from_documents(df).collect()} == {1: "de", 2: None}
