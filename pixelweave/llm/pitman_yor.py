@@ -5,8 +5,7 @@ parent of all; its base is uniform over the training words and one unknown. The
 of the contexts' restaurants. Gibbs sampling draws the number of tables of each dish from its exact conditional (generalised
 Stirling numbers) given the other dishes of its restaurant and the root's probabilities; an epoch seats all
 contexts for some sweeps, then the root, whose counts follow. Predictive probabilities are averaged over the samples.
-Dishes of over EXACT customers use the Stirling ratios of EXACT customers, carried on as the d-th power of the count; a pair seen
-once has one table in any seating and isn't drawn.
+Stirling numbers of dishes of over EXACT customers come from a contour integral; a pair seen once has one table in any seating and isn't drawn.
 
 How it is laid out: documents become blocks of tokens (a written table); each block sends its distinct pairs to
 buckets by context, as packed arrays, and gets back what each pair needs. A context with more than 1/(4 * buckets) of
@@ -36,7 +35,8 @@ from pixelweave.llm.common import dropped, map_arrow, partitions, read, released
 DISCOUNT, STRENGTH = 0.9, 2.0  # of the contexts' restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 EPOCHS, BURN, SAMPLES = 2, 2, 3
-EXACT = 512
+EXACT = 512  # customers of a dish whose Stirling numbers are tabulated
+NODES, POINTS = 160, 24  # of the integral and the interpolation for others
 BLOCK = 2_200_000  # tokens of a block, about
 BUCKETS = 2  # for each shuffle partition
 END = b" "  # no word has a space
@@ -69,10 +69,78 @@ def stirling(d: float) -> np.ndarray:
     return out
 
 
-def table_weights(c: int, d: float) -> np.ndarray:
-    """Log S(c, t) for t = 1 to min(c, EXACT), up to a constant."""
-    row = stirling(d)[min(c, EXACT), 1 : min(c, EXACT) + 1]
-    return row if c <= EXACT else row + d * np.log(c / EXACT) * np.arange(len(row))
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Of positive numbers."""
+    y = x + 8.0
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    return series - np.log(x * (x + 1) * (x + 2) * (x + 3)) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
+
+
+def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
+    """Log S(c, t) for any c over EXACT: t! S(c, t) / c! is the c-th coefficient of ((1 - (1 - x)^d) / d)^t, an integral over x = exp(-s)
+    on a contour through the saddle point (where that is nearer to 0 than 1 / c, through 1 / c)."""
+    t = np.asarray(t, np.float64)
+    want = c / t
+
+    def mean(s: np.ndarray) -> np.ndarray:
+        u = -np.expm1(-s)
+        return d * u ** (d - 1) * np.exp(-s) / (1 - u**d)
+
+    low, high = np.full(len(t), -60.0), np.full(len(t), 3.5)
+    for _ in range(60):
+        middle = (low + high) / 2
+        over = mean(np.exp(middle)) > want
+        low, high = np.where(over, middle, low), np.where(over, high, middle)
+    mu = np.maximum(np.exp(low), 1 / c)
+    spread = t * np.maximum((mean(mu * 0.999) - mean(mu * 1.001)) / (0.002 * mu), 1e-300)
+    line = c * mu >= 50
+    end = np.where(line, np.minimum(np.pi, 9 / np.sqrt(spread)), np.minimum(2 * np.sqrt(1 + 45 / (c * mu)), 1.5 / mu))
+    v = np.linspace(0, 1, NODES + 1)[None, :] * end[:, None]
+    m, on = mu[:, None], line[:, None]
+    s = np.where(on, m + 1j * v, m * (1 + 1j * v) ** 2)
+    step = np.where(on, 1.0 + 0j, 2 * m * (1 + 1j * v))  # ds / (i dv)
+    with np.errstate(all="ignore"):  # t = c, which is known
+        value = t[:, None] * np.log(1 - (-np.expm1(-s)) ** d) + c * s
+        top = value[:, :1].real
+        w = (np.exp(value - top) * step).real
+    w[:, [0, -1]] /= 2
+    integral = w.sum(1) * end / NODES / np.pi
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out = top[:, 0] + np.log(integral) + log_gamma(np.array([c + 1.0])) - log_gamma(t + 1) - t * np.log(d)
+    return np.where(t >= c, 0.0, np.where(t == c - 1, np.log(c * (c - 1) / 2 * (1 - d)), out))
+
+
+@functools.lru_cache(4096)
+def _grid(c: int, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Table counts from 1 to c, each at most an eighth over the one before or its successor, and their log S."""
+    t = [1]
+    while t[-1] < c:
+        t.append(min(c, t[-1] + max(1, t[-1] // 8)))
+    return np.array(t), log_stirling(c, np.array(t), d)
+
+
+def _seat_large(c: int, others: float, base: float, luck: float, d: float, strength: float) -> int:
+    """A draw among all of 1 to c tables, c over EXACT: log S is interpolated (Chebyshev nodes in log t) over the counts that have any weight."""
+    start = strength / d + others
+
+    def rest(t: np.ndarray) -> np.ndarray:
+        return log_gamma(start + t) - log_gamma(np.array([start])) + t * np.log(d * base)
+
+    t, s = _grid(c, d)
+    w = s + rest(t)
+    some = np.flatnonzero(w > w.max() - 40)
+    first, last = int(t[max(0, some[0] - 1)]), int(t[min(len(t) - 1, some[-1] + 1)])
+    every = np.arange(first, last + 1)
+    if len(every) <= POINTS:
+        own = log_stirling(c, every, d)
+    else:
+        angle = (np.arange(POINTS) + 0.5) * np.pi / POINTS
+        a, b = np.log(first), np.log(last)
+        values = log_stirling(c, np.exp((a + b) / 2 + (b - a) / 2 * np.cos(angle)), d)
+        own = np.polynomial.chebyshev.chebval((2 * np.log(every) - a - b) / (b - a), np.polynomial.chebyshev.chebfit(np.cos(angle), values, POINTS - 1))
+    w = own + rest(every)
+    w = np.exp(w - w.max()).cumsum()
+    return first + int((w < luck * w[-1]).sum())
 
 
 def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, luck: np.ndarray, d: float, strength: float) -> np.ndarray:
@@ -83,7 +151,10 @@ def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, luck: np.ndarray,
     for value, own in zip(values.tolist(), np.split(order, begins[1:]), strict=True):
         if value < 2:
             continue
-        s = table_weights(value, d)
+        if value > EXACT:
+            out[own] = [_seat_large(value, *x, d, strength) for x in zip(others[own].tolist(), base[own].tolist(), luck[own].tolist(), strict=True)]
+            continue
+        s = stirling(d)[value, 1 : value + 1]
         i = np.arange(len(s))
         for at in range(0, len(own), max(1, 200_000 // len(s))):
             rows = own[at : at + max(1, 200_000 // len(s))]
