@@ -9,7 +9,8 @@ Stirling numbers of dishes of over EXACT customers come from a contour integral;
 
 How it is laid out: documents become blocks of tokens (a written table); each block sends its distinct pairs to
 buckets by context, as packed arrays, and gets back what each pair needs. A context with more than 1/(4 * buckets) of
-all tokens is spread over all buckets by its next words; there are at most 4 * buckets of them. Words and pairs go by 64-bit
+all tokens is spread over all buckets by its next words; there are at most 4 * buckets of them. Its tables
+are summed over all buckets before each sweep, so that it is seated as any other. Words and pairs go by 64-bit
 hashes.
 
 Null texts are empty: the end token alone. Tokens are runs without ASCII white space, A-Z lower-cased. Rows with a null
@@ -348,8 +349,8 @@ def _rows_of(met: DataFrame, kind: int, names: dict[str, type]) -> DataFrame:
     return met.where(F.col("kind") == kind).select("bucket", *columns).mapInArrow(run, "bucket bigint, place bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
-def _restaurants(epoch: int, hot: dict[int, int], last: bool) -> Callable:
-    """Sweeps over the contexts of each bucket. In: bucket, place, u, w, c, tables, t, base; out: bucket, place, u, w, c, tables, t, mean."""
+def _restaurants(epoch: int, last: bool) -> Callable:
+    """Sweeps over the contexts of each bucket, spread ones left out. In: bucket, place, u, w, c, tables, t, base; out: bucket, place, u, w, c, tables, t, mean."""
     names = ["bucket", "place", "u", "w", "c", "tables", "t", "mean"]
 
     def seated(rows: list[np.ndarray]) -> pa.RecordBatch:
@@ -358,14 +359,10 @@ def _restaurants(epoch: int, hot: dict[int, int], last: bool) -> Callable:
         bucket, place, u, w, c, tables, t, base = (x[order] for x in (bucket, place, u, w, c, tables, t, base))
         begins = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
         sizes = np.diff(np.append(begins, len(u)))
-        rest = tables.copy()  # tables of the context that aren't among these rows
-        for k, b in enumerate(begins.tolist()):
-            if hot and (every := hot.get(int(u[b]))) is not None:
-                rest[b : b + sizes[k]] = every - sizes[k]
         pair = mixed(u.view(np.uint64)) + w.view(np.uint64)
         total = np.zeros(len(u))
         for sweep in range(BURN + (SAMPLES if last else 0)):
-            others = rest + np.repeat(np.add.reduceat(t, begins), sizes) - t
+            others = tables + np.repeat(np.add.reduceat(t, begins), sizes) - t
             t = seat(c, others, base, uniform(pair, 100 * epoch + sweep), DISCOUNT, STRENGTH)
             if last and sweep >= BURN:
                 total += t
@@ -389,6 +386,27 @@ def _restaurants(epoch: int, hot: dict[int, int], last: bool) -> Callable:
     return run
 
 
+SWEPT = "bucket bigint, place bigint, u bigint, w bigint, c bigint, tables bigint, t bigint, base double, mean double"
+
+
+def _sweep(turn: int, totals: dict[int, int], share: float) -> Callable:
+    """One sweep over the pairs of spread contexts, given all tables of each of these contexts; the mean grows by a share of the tables."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bucket, place, u, w, c, tables, t, base, mean = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        contexts, of = np.unique(u, return_inverse=True)
+        others = np.array([totals[x] for x in contexts.tolist()], np.int64)[of] - t
+        t = seat(c, others, base, uniform(mixed(u.view(np.uint64)) + w.view(np.uint64), turn), DISCOUNT, STRENGTH)
+        return pa.record_batch([pa.array(x) for x in (bucket, place, u, w, c, tables, t, base, mean + share * t)], names=batch.schema.names)
+
+    return run
+
+
+def _tables(rows: DataFrame) -> dict[int, int]:
+    """The sum of t for each u."""
+    return {r["u"]: r["t"] for r in rows.groupBy("u").agg(F.sum("t").alias("t")).collect()}
+
+
 def _root(customers: DataFrame, base: float, tables: float, turn: int, samples: int) -> DataFrame:
     """(w, k, mean): the root's tables of each word, drawn given the number of all its tables before; the mean of the samples."""
 
@@ -523,6 +541,11 @@ def _score(parts: int, hot: np.ndarray, total: int, vocabulary: int, unknown: fl
     return run
 
 
+def frequent_share(parts: int) -> float:
+    """The share of all tokens over which a context is spread."""
+    return 1 / (4 * parts)
+
+
 def _bucket(h: str, parts: int) -> Column:
     """An unsigned hash modulo the number of buckets."""
     high, low = F.shiftrightunsigned(h, 32), F.col(h).bitwiseAND((1 << 32) - 1)
@@ -545,13 +568,13 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     words = staged(blocks.mapInArrow(taught, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
     released(spark)
     total, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
-    frequent = [r["h"] for r in words.where(F.col("n") > total / (4 * parts)).select("h").collect()]  # at most 4 * parts
+    frequent = [r["h"] for r in words.where(F.col("n") > total * frequent_share(parts)).select("h").collect()]  # at most 4 * parts
     hot = np.array(frequent, np.int64).view(np.uint64)
 
     met = staged(_delivered(blocks.mapInArrow(_send_pairs(parts, hot), MESSAGE), parts).mapInArrow(_meet, MESSAGE), "met", by="kind")
     released(spark)
     contexts = _rows_of(met, 2, {"u": int, "once": int, "often": int})
-    spread = {r["u"]: r["d"] for r in contexts.where(F.col("u").isin(frequent)).groupBy("u").agg(F.sum(F.col("once") + F.col("often")).alias("d")).collect()} if frequent else {}
+    fixed = contexts.where(F.col("u").isin(frequent)).select("u", F.col("once").alias("t"))
     often = _rows_of(met, 1, {"u": int, "w": int, "c": int, "tables": int}).withColumn("t", F.lit(1).cast("bigint"))
     once = staged(_rows_of(met, 3, {"w": int, "n": int}).groupBy("w").agg(F.sum("n").alias("n")), "once")
     dropped(met, "kind=3")
@@ -569,14 +592,28 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         shares.staged_at = root.staged_at
         return shares, left / (ROOT_STRENGTH + everyone)
 
+    pieces: list[DataFrame] = []  # the staged tables of often
     for epoch in range(EPOCHS):
         root, _ = seated_root(often, 1000 * epoch, 1)
-        before = often
+        before, last = pieces, epoch == EPOCHS - 1
         rows = often.select("bucket", "place", "u", "w", "c", "tables", "t").join(root, "w").select("bucket", "place", "u", "w", "c", "tables", "t", F.col("p").alias("base"))
-        rows = rows.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
+        cold = rows.where(~F.col("u").isin(frequent)) if frequent else rows
+        cold = cold.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
         schema = "bucket bigint, place bigint, u bigint, w bigint, c bigint, tables bigint, t bigint, mean double"
-        often = staged(rows.mapInArrow(_restaurants(epoch, spread, epoch == EPOCHS - 1), schema), "seated")
-        dropped(*((before,) if epoch else (met, "kind=1")))
+        pieces = [staged(cold.mapInArrow(_restaurants(epoch, last), schema), "seated")]
+        often = pieces[0]
+        if frequent:
+            spread = staged(rows.where(F.col("u").isin(frequent)).withColumn("mean", F.lit(0.0)), "spread")
+            for sweep in range(BURN + (SAMPLES if last else 0)):
+                totals, done = _tables(fixed.unionByName(spread.select("u", "t"))), spread
+                spread = staged(map_arrow(spread, _sweep(100 * epoch + sweep, totals, 1 / SAMPLES if sweep >= BURN else 0.0), SWEPT, rows=50_000), "spread")
+                dropped(done)
+            pieces.append(spread)
+            often = often.unionByName(spread.drop("base"))
+        for table in before:
+            dropped(table)
+        if not epoch:
+            dropped(met, "kind=1")
         dropped(root)
         released(spark)
     root, unknown = seated_root(often, 1000 * EPOCHS, SAMPLES)
@@ -591,7 +628,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     places = replies.where("octet_length(b) > 0").select("kind", "bucket", "block", F.col("b").alias("a"), *[F.lit(None).cast("binary").alias(c) for c in "bcd"])
     asked = word_tables.unionByName(value_tables).unionByName(blocks.mapInArrow(_ask(parts), MESSAGE)).unionByName(places)
     answers = staged(_delivered(asked, parts).mapInArrow(_answers, MESSAGE), "answers")
-    for table in (root, often, once, words):
+    for table in (root, *pieces, once, words):
         dropped(table)
     dropped(met, "kind=2")
     released(spark)

@@ -29,3 +29,15 @@ def test_many_customers(c, d):
         luck = (np.arange(50) + 0.5) / 50
         drawn = pitman_yor.seat(np.full(50, c), np.full(50, others), np.full(50, base), luck, d, 2.0)
         assert abs(drawn.mean() - want) < 0.05 * sd + 0.05, (others, base)
+
+
+def test_spread_contexts_are_seated_as_any_other(spark, monkeypatch):
+    """Contexts whose pairs have many tables: scores don't depend on whether they are spread over buckets."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"hub w{k}" for k in rng.integers(0, 60, 400)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(pitman_yor, "BUCKETS", 2)
+    dealt = {r["doc_id"]: r["score"] for r in pitman_yor.scores(df).collect()}
+    monkeypatch.setattr(pitman_yor, "frequent_share", lambda parts: 2.0)
+    alone = {r["doc_id"]: r["score"] for r in pitman_yor.scores(df).collect()}
+    assert all(np.isclose(alone[k], dealt[k], rtol=1e-5) for k in alone)
