@@ -2,47 +2,20 @@
 
 from __future__ import annotations
 
-import gc
-import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.sources.staging import shared_folder
+from pixelweave.sources.staging import dropped, shuffles_freed, staged
+
+__all__ = ["SUB_BATCH", "dropped", "map_arrow", "partitions", "read", "shuffles_freed", "staged", "text_or_empty"]
 
 #: Rows that a Python function gets at once; texts may be long.
 SUB_BATCH = 512
 
 
-def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: later steps start from files that outlive any executor. by: a folder for each of its values."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.staged_at = path
-    return back
-
-
-def dropped(df: DataFrame, part: str = "") -> None:
-    """Delete a staged table, or one folder of it, that no later step reads."""
-    spark = df.sparkSession
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{df.staged_at}/{part}".rstrip("/"))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written by now; else they stay until the driver happens to collect its garbage."""
-    for _ in range(2):  # the first round frees what holds the references, the second the shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import staged
+from pixelweave.llm.common import dropped, staged
 
 
 def _state(links: DataFrame) -> tuple:
@@ -25,7 +25,9 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours move to the least of them
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         moved = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        now = staged(moved, "links")
+        after = staged(moved, "links")
+        dropped(now)
+        now = after
         before, state = state, _state(now)
         if state == before:
             break

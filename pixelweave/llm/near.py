@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import SUB_BATCH, partitions, released, staged, text_or_empty
+from pixelweave.llm.common import SUB_BATCH, dropped, partitions, staged, text_or_empty
 from pixelweave.llm.components import components
 from pixelweave.llm.sketch import _mixed, shingle_hashes, words
 
@@ -157,14 +157,15 @@ def links(nodes: DataFrame, small: DataFrame) -> DataFrame:
     pairs = staged(met.where("kind = 0").select("a", "b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
     texts = staged(nodes.join(ids, "mark", "left_semi"), "texts")  # each text of a large cell is in a pair
-    released(spark)
     first, second = (texts.select(F.col("mark").alias(m), F.col("text").alias(t)) for m, t in (("a", "x"), ("b", "y")))
     whole = pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").sortWithinPartitions("a")
     near = staged(whole.mapInArrow(_decided, "a bigint, b bigint"), "near")
-    released(spark)
+    dropped(pairs)
 
     large = met.where("kind = 1").select(F.col("a").alias("cell"), F.col("b").alias("mark"))
     if large.isEmpty():
+        dropped(met)
+        dropped(texts)
         return near
     rows = large.join(components(near), F.col("mark") == F.col("node"), "left").select("cell", "mark", F.coalesce("root", "mark").alias("root"))
     mixed = rows.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("n")).where("low <> high").select("cell", "n")
@@ -181,7 +182,6 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = docs.select(known.alias("known"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.struct(*docs.columns).alias("row")).alias("doc"))
     rows = rows.select(F.col("known.mark").alias("mark"), F.struct("doc.none", "doc.key", "doc.row", "known.cells").alias("doc"))
     nodes = staged(rows.groupBy("mark").agg(F.min("doc").alias("doc")), "nodes")
-    released(docs.sparkSession)
     inner = text_or_empty(f"doc.row.{text}")
     roots = components(links(nodes.select("mark", inner.alias("text")), nodes.select("mark", F.col("doc.cells").alias("cells"))))
     placed = nodes.select("mark", F.col("doc.none").alias("none"), F.col("doc.key").alias("key")).join(roots, F.col("mark") == F.col("node"), "left")
