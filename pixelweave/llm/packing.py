@@ -2,11 +2,14 @@
 
 Documents are cut at SIZE tokens, so only their last pieces have other lengths and the histogram has SIZE bins at
 most. Lengths are placed longest first into the pack pattern with the most room (the shortest pack), which is kept as
-a pattern and a count; every bin opens one pattern and splits one at most, so there are 2 * SIZE patterns at most,
+a pattern and a count. Where nothing open has room, fresh packs take as many pieces of the length as fit, so many
+short pieces fill packs too. Every bin opens two patterns and splits one at most, so there are 3 * SIZE patterns at most,
 whatever the number of documents. Patterns are joined back to pieces by their rank among pieces of equal length. The
 rank is counted within salted parts and shifted by the parts before, so a length that a third of all pieces have is
 spread evenly. A null or empty text is its end token alone. Repeated rows are packed as often as they occur, ranked
-by doc_id (nulls first) and start; extra columns are ignored.
+by doc_id (nulls first) and start; extra columns are ignored. A text of any length is encoded whole, and an empty
+table gives no pieces. Ids are those of the vocabulary file's own library: names of its special tokens in a text are
+these tokens.
 """
 
 from __future__ import annotations
@@ -33,16 +36,19 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 @functools.cache
 def encoder(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a ``tokenizers`` file, whole texts at once; strings of special tokens are ordinary text.
+    """The byte-level BPE of a ``tokenizers`` file, whole texts at once; names of its added tokens are these tokens.
 
     Its vocabulary is in the order of its merges, so ids are ranks and give the same ids as the file's own library
     (a test compares them) in a fraction of the time.
     """
-    model = json.loads(Path(path).read_text())["model"]
+    whole = json.loads(Path(path).read_text())
+    model, added = whole["model"], {t["content"]: t["id"] for t in whole["added_tokens"]}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in whole["added_tokens"]):
+        raise ValueError(f"{path}: added tokens that take more than their own name")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted({*range(256)} - {*plain}))}
-    ranks = {bytes(map(byte.__getitem__, t)): k for t, k in model["vocab"].items() if all(c in byte for c in t) and not t.startswith("<|")}
-    return tiktoken.Encoding(Path(path).stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(map(byte.__getitem__, t)): k for t, k in model["vocab"].items() if t not in added}
+    return tiktoken.Encoding(Path(path).stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, size: int = SIZE) -> DataFrame:
@@ -50,7 +56,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        encode = encoder(vocabulary).encode_ordinary
+        encode = functools.partial(encoder(vocabulary).encode, allowed_special="all")
         for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             ids = array.array("I", [*encode(text), 0]).tobytes()
             n = len(ids) // 4
@@ -72,20 +78,23 @@ def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int
         while left:
             while widest and not room[widest]:
                 widest -= 1
+            copies = 1
             if widest < length:
-                pack, n = [], left
+                copies = min(size // length, left)
+                pack, n = [], left // copies
             else:
                 pack, held = room[widest].pop()
                 n = min(held, left)
                 if held > n:
                     room[widest].append((pack, held - n))
-            left -= n
-            free = size - sum(pack) - length
+            left -= n * copies
+            pack = [*pack, *[length] * copies]
+            free = size - sum(pack)
             if free:
-                room[free].append(([*pack, length], n))
+                room[free].append((pack, n))
                 widest = max(widest, free)
             else:
-                done.append(([*pack, length], n))
+                done.append((pack, n))
     return done + [p for free in sorted(room) for p in room[free]]
 
 
