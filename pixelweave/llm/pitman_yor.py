@@ -10,11 +10,13 @@ Stirling numbers of dishes of over EXACT customers come from a contour integral;
 How it is laid out: documents become blocks of tokens (a written table); each block sends its distinct pairs to
 buckets by context, as packed arrays, and gets back what each pair needs. A context with more than 1/(4 * buckets) of
 all tokens is spread over all buckets by its next words; there are at most 4 * buckets of them. Its tables
-are summed over all buckets before each sweep, so that it is seated as any other. Words and pairs go by 64-bit
-hashes.
+are summed over all buckets before each sweep, so that it is seated as any other. Buckets grow in number with the tokens.
+Words and pairs go by 64-bit hashes.
 
 Null texts are empty: the end token alone. Tokens are runs without ASCII white space, A-Z lower-cased. Rows with a null
-doc_id count as training rows. Repeated rows count as often as they occur; extra columns are ignored.
+doc_id count as training rows. Repeated rows count as often as they occur; texts are read whole; extra columns are ignored; an
+empty table gives no rows. Draws are made from hashes of the pairs and the turn, so ties don't occur and scores don't depend on how
+the data are dealt, but for the last digits of sums.
 """
 
 from __future__ import annotations
@@ -31,15 +33,16 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import dropped, map_arrow, partitions, read, released, staged, text_or_empty
+from pixelweave.llm.common import dropped, map_arrow, partitions, read, staged, text_or_empty
 
 DISCOUNT, STRENGTH = 0.9, 2.0  # of the contexts' restaurants
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.6, 10.0
 EPOCHS, BURN, SAMPLES = 2, 2, 3
 EXACT = 512  # customers of a dish whose Stirling numbers are tabulated
-NODES, POINTS = 160, 24  # of the integral and the interpolation for others
+NODES, POINTS = 40, 12  # of the integral and the interpolation for others
 BLOCK = 2_200_000  # tokens of a block, about
-BUCKETS = 2  # for each shuffle partition
+BUCKETS = 2  # for each shuffle partition, at least
+FULL = 4_000_000  # tokens of a bucket, about: more tokens make more buckets
 END = b" "  # no word has a space
 
 
@@ -77,84 +80,111 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(x * (x + 1) * (x + 2) * (x + 3)) - np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
 
 
-def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
-    """Log S(c, t) for any c over EXACT: t! S(c, t) / c! is the c-th coefficient of ((1 - (1 - x)^d) / d)^t, an integral over x = exp(-s)
-    on a contour through the saddle point (where that is nearer to 0 than 1 / c, through 1 / c)."""
-    t = np.asarray(t, np.float64)
-    want = c / t
+def _saddle(s: np.ndarray, d: float) -> np.ndarray:
+    """The mean size of a table where x is exp(-s): the saddle point of c customers at t tables is where it is c / t."""
+    u = -np.expm1(-s)
+    return d * u ** (d - 1) * np.exp(-s) / (1 - u**d)
 
-    def mean(s: np.ndarray) -> np.ndarray:
-        u = -np.expm1(-s)
-        return d * u ** (d - 1) * np.exp(-s) / (1 - u**d)
 
-    low, high = np.full(len(t), -60.0), np.full(len(t), 3.5)
-    for _ in range(60):
+def log_stirling(c: np.ndarray | int, t: np.ndarray, d: float) -> np.ndarray:
+    """Log S(c, t) for any c over EXACT and real t from 1 to c: t! S(c, t) / c! is the c-th coefficient of ((1 - (1 - x)^d) / d)^t, an integral
+    over x = exp(-s) on a contour through the saddle point (where that is nearer to 0 than 1 / c, through 1 / c)."""
+    t = np.asarray(t, np.float64)
+    c = np.broadcast_to(np.asarray(c, np.float64), t.shape)
+    want = c / t
+    low, high = -np.log(c), np.full(t.shape, 3.5)
+    for _ in range(26):
         middle = (low + high) / 2
-        over = mean(np.exp(middle)) > want
+        over = _saddle(np.exp(middle), d) > want
         low, high = np.where(over, middle, low), np.where(over, high, middle)
-    mu = np.maximum(np.exp(low), 1 / c)
-    spread = t * np.maximum((mean(mu * 0.999) - mean(mu * 1.001)) / (0.002 * mu), 1e-300)
+    mu = np.exp(low)
+    spread = t * np.maximum((_saddle(mu * 0.999, d) - _saddle(mu * 1.001, d)) / (0.002 * mu), 1e-300)
     line = c * mu >= 50
     end = np.where(line, np.minimum(np.pi, 9 / np.sqrt(spread)), np.minimum(2 * np.sqrt(1 + 45 / (c * mu)), 1.5 / mu))
-    v = np.linspace(0, 1, NODES + 1)[None, :] * end[:, None]
-    m, on = mu[:, None], line[:, None]
+    v = np.linspace(0, 1, NODES + 1) * end[..., None]
+    m, on = mu[..., None], line[..., None]
     s = np.where(on, m + 1j * v, m * (1 + 1j * v) ** 2)
     step = np.where(on, 1.0 + 0j, 2 * m * (1 + 1j * v))  # ds / (i dv)
     with np.errstate(all="ignore"):  # t = c, which is known
-        value = t[:, None] * np.log(1 - (-np.expm1(-s)) ** d) + c * s
-        top = value[:, :1].real
+        value = t[..., None] * np.log(1 - (-np.expm1(-s)) ** d) + c[..., None] * s
+        top = value[..., :1].real
         w = (np.exp(value - top) * step).real
-    w[:, [0, -1]] /= 2
-    integral = w.sum(1) * end / NODES / np.pi
+    w[..., [0, -1]] /= 2
+    integral = w.sum(-1) * end / NODES / np.pi
     with np.errstate(invalid="ignore", divide="ignore"):
-        out = top[:, 0] + np.log(integral) + log_gamma(np.array([c + 1.0])) - log_gamma(t + 1) - t * np.log(d)
+        out = top[..., 0] + np.log(integral) + log_gamma(c + 1) - log_gamma(t + 1) - t * np.log(d)
     return np.where(t >= c, 0.0, np.where(t == c - 1, np.log(c * (c - 1) / 2 * (1 - d)), out))
 
 
-@functools.lru_cache(4096)
-def _grid(c: int, d: float) -> tuple[np.ndarray, np.ndarray]:
-    """Table counts from 1 to c, each at most an eighth over the one before or its successor, and their log S."""
-    t = [1]
-    while t[-1] < c:
-        t.append(min(c, t[-1] + max(1, t[-1] // 8)))
-    return np.array(t), log_stirling(c, np.array(t), d)
-
+def _likely(c: np.ndarray, start: np.ndarray, base: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """First and last table count that has any weight: ten deviations around the mode, where the logarithm of the weight is level.
 
-def _seat_large(c: int, others: float, base: float, luck: float, d: float, strength: float) -> int:
-    """A draw among all of 1 to c tables, c over EXACT: log S is interpolated (Chebyshev nodes in log t) over the counts that have any weight."""
-    start = strength / d + others
+    At the contour's point mu there are c / mean(mu) tables, so the mode is sought over mu, down to 1 / c; below, tables are so few that the
+    point stays at 1 / c.
+    """
 
-    def rest(t: np.ndarray) -> np.ndarray:
-        return log_gamma(start + t) - log_gamma(np.array([start])) + t * np.log(d * base)
+    def slope(mu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = np.clip(c / _saddle(mu, d), 1.0, c)
+        return t, np.log1p(-((-np.expm1(-mu)) ** d)) + np.log(base) + np.log((start + t) / (t + 0.5))
 
-    t, s = _grid(c, d)
-    w = s + rest(t)
-    some = np.flatnonzero(w > w.max() - 40)
-    first, last = int(t[max(0, some[0] - 1)]), int(t[min(len(t) - 1, some[-1] + 1)])
-    every = np.arange(first, last + 1)
-    if len(every) <= POINTS:
-        own = log_stirling(c, every, d)
-    else:
-        angle = (np.arange(POINTS) + 0.5) * np.pi / POINTS
-        a, b = np.log(first), np.log(last)
-        values = log_stirling(c, np.exp((a + b) / 2 + (b - a) / 2 * np.cos(angle)), d)
-        own = np.polynomial.chebyshev.chebval((2 * np.log(every) - a - b) / (b - a), np.polynomial.chebyshev.chebfit(np.cos(angle), values, POINTS - 1))
-    w = own + rest(every)
-    w = np.exp(w - w.max()).cumsum()
-    return first + int((w < luck * w[-1]).sum())
+    low, high = -np.log(c), np.full(len(c), 3.5)
+    for _ in range(30):
+        middle = (low + high) / 2
+        up = slope(np.exp(middle))[1] > 0
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    mu = np.exp((low + high) / 2)
+    t, _ = slope(mu)
+    (t0, h0), (t1, h1) = slope(mu / 1.01), slope(mu * 1.01)
+    with np.errstate(all="ignore"):
+        bend = (h0 - h1) / (t1 - t0)
+    least, at_least = slope(1 / c)
+    own = base * (1 - (1 / c) ** d)
+    few = np.clip((start * own - 0.5) / np.maximum(1 - own, 1e-12), 1.0, c)
+    bend = np.where(at_least > 0, bend, 1 / (few + 0.5) - 1 / (start + few))
+    t = np.where(at_least > 0, t, few)
+    wide = 10 / np.sqrt(np.maximum(np.nan_to_num(bend, nan=1e-12, posinf=1e12), 1e-12))
+    return np.maximum(1, np.floor(t - wide - 12)).astype(np.int64), np.minimum(c, np.ceil(t + wide + 24)).astype(np.int64)
+
+
+def _seat_large(c: np.ndarray, others: np.ndarray, base: np.ndarray, luck: np.ndarray, d: float, strength: float) -> np.ndarray:
+    """Draws among all of 1 to c tables, c over EXACT: log S is interpolated (Chebyshev nodes in log t) over the counts that have any weight."""
+    out = np.empty(len(c), np.int64)
+    angle = (np.arange(POINTS) + 0.5) * np.pi / POINTS
+    nodes = np.cos(angle)
+    to_series = 2 / POINTS * np.cos(np.arange(POINTS)[:, None] * angle)  # from values at the nodes to Chebyshev coefficients
+    to_series[0] /= 2
+    for at in range(0, len(c), 128):
+        some = slice(at, at + 128)
+        start = strength / d + others[some]
+        first, last = _likely(c[some].astype(np.float64), start, base[some], d)
+        a, b = np.log(first), np.log(np.maximum(last, first + 1))
+        values = log_stirling(c[some, None], np.minimum(np.exp((a + b)[:, None] / 2 + (b - a)[:, None] / 2 * nodes), c[some, None] - 2), d)
+        series = values @ to_series.T
+        for k, (f, e) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            every = np.arange(f, e + 1)
+            if e > 0.8 * c[at + k]:  # towards t = c log S bends too much
+                w = np.concatenate([log_stirling(c[at + k], every[x : x + 1024], d) for x in range(0, len(every), 1024)])
+            else:
+                w = np.polynomial.chebyshev.chebval((2 * np.log(every) - a[k] - b[k]) / (b[k] - a[k]), series[k])
+            w = w + np.log((start[k] + every - 1) * (d * base[at + k])).cumsum()
+            w = np.exp(w - w.max()).cumsum()
+            out[at + k] = f + int(np.searchsorted(w, luck[at + k] * w[-1], "left"))
+    return out
 
 
 def seat(c: np.ndarray, others: np.ndarray, base: np.ndarray, luck: np.ndarray, d: float, strength: float) -> np.ndarray:
     """Numbers of tables of dishes with c customers each, drawn given the restaurant's other tables and the dish's base probability."""
     out = np.ones(len(c), np.int64)
     order = np.argsort(c, kind="stable")
+    large = order[np.searchsorted(c[order], EXACT, "right") :]
+    out[large] = _seat_large(c[large], others[large], base[large], luck[large], d, strength)
+    order = order[: len(order) - len(large)]
+    if not len(order):
+        return out
     values, begins = np.unique(c[order], return_index=True)
     for value, own in zip(values.tolist(), np.split(order, begins[1:]), strict=True):
         if value < 2:
             continue
-        if value > EXACT:
-            out[own] = [_seat_large(value, *x, d, strength) for x in zip(others[own].tolist(), base[own].tolist(), luck[own].tolist(), strict=True)]
-            continue
         s = stirling(d)[value, 1 : value + 1]
         i = np.arange(len(s))
         for at in range(0, len(own), max(1, 200_000 // len(s))):
@@ -554,7 +584,6 @@ def _bucket(h: str, parts: int) -> Column:
 
 def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     spark = df.sparkSession
-    parts = BUCKETS * partitions(spark)
     blocks = staged(df.select(F.col(key).cast("bigint"), text_or_empty(text)).mapInArrow(_make_blocks, BLOCKS), "blocks")
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -566,13 +595,12 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 yield pa.record_batch([pa.array(block.words[own].view(np.int64)), pa.array(n[own])], names=["h", "n"])
 
     words = staged(blocks.mapInArrow(taught, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    released(spark)
     total, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
+    parts = max(BUCKETS * partitions(spark), -(-total // FULL))
     frequent = [r["h"] for r in words.where(F.col("n") > total * frequent_share(parts)).select("h").collect()]  # at most 4 * parts
     hot = np.array(frequent, np.int64).view(np.uint64)
 
     met = staged(_delivered(blocks.mapInArrow(_send_pairs(parts, hot), MESSAGE), parts).mapInArrow(_meet, MESSAGE), "met", by="kind")
-    released(spark)
     contexts = _rows_of(met, 2, {"u": int, "once": int, "often": int})
     fixed = contexts.where(F.col("u").isin(frequent)).select("u", F.col("once").alias("t"))
     often = _rows_of(met, 1, {"u": int, "w": int, "c": int, "tables": int}).withColumn("t", F.lit(1).cast("bigint"))
@@ -615,7 +643,6 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         if not epoch:
             dropped(met, "kind=1")
         dropped(root)
-        released(spark)
     root, unknown = seated_root(often, 1000 * EPOCHS, SAMPLES)
 
     opened = contexts.select("u", F.col("once").cast("double").alias("t")).unionByName(often.select("u", F.col("mean").alias("t"))).groupBy("u").agg(F.sum("t").alias("t"))
@@ -631,7 +658,6 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     for table in (root, *pieces, once, words):
         dropped(table)
     dropped(met, "kind=2")
-    released(spark)
 
     nothing = F.lit(None).cast("binary")
     codes = replies.select("block", F.lit(2).alias("kind"), "bucket", "a", nothing.alias("b"), nothing.alias("c"), F.lit(None).cast("array<bigint>").alias("doc_ids"), *[nothing.alias(x) for x in ("sizes", "words", "ids")])
