@@ -2,13 +2,14 @@
 
 Three kinds of evidence meet in one posterior over LANGUAGES: the likelihood of the whole text under byte-trigram
 models counted over all labelled documents; the language that the markup declares, with a reliability counted over all rows; and a prior
-of the host, smoothed hierarchically by its site, its address suffix and all rows, from grouped sums of the text-only posteriors (a row's own
+of the host, smoothed hierarchically by its site (the part of the name that is registered), its address suffix and all rows, from grouped sums of the text-only posteriors (a row's own
 part is taken out of its host's). A row's trigrams overlap, so their log-likelihood is scaled by SCALE. Host priors are joined salted,
 since one host may have a third of all rows.
 
 Null and empty texts have no text evidence; rows without host, suffix or declaration have that evidence neutral. A text that fits no model
 (mean log-likelihood of a trigram under FLOOR) or has fewer than LEAST trigrams with letters is ``und``. Repeated rows count as often as
-they occur; labels outside LANGUAGES teach nothing; extra columns are ignored.
+they occur; labels outside LANGUAGES teach nothing; extra columns are ignored; texts of any length are read whole, and an empty table gives no rows.
+Of languages with equal posteriors the first of LANGUAGES is taken.
 """
 
 from __future__ import annotations
@@ -150,11 +151,18 @@ def identified(rows: DataFrame, model: np.ndarray, keys: list[str]) -> DataFrame
 _TAG = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>"
 
 
+def site_of(host: Column) -> Column:
+    """The last two labels of a host, or three where a generic label stands before a country's; hosts of fewer labels as they are."""
+    parts = F.split(host, r"\.")
+    generic = host.rlike(r"\.(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}$")
+    wanted = F.when(generic, 3).otherwise(2)
+    return F.array_join(F.slice(parts, F.greatest(F.size(parts) - wanted + 1, F.lit(1)), wanted), ".")
+
+
 def from_pages(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    parts = F.split("host", r"\.")
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("html", F.lit("")), _TAG, " ").alias("text"), F.nullif(F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<html[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", 1)), F.lit("")).alias("declared"), host.alias("host"))
-    return rows.withColumn("site", F.array_join(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), 3), ".")).withColumn("suffix", F.element_at(parts, -1))
+    return rows.withColumn("site", site_of(F.col("host"))).withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
 
 
 def from_documents(docs: DataFrame) -> DataFrame:
