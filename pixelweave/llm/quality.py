@@ -4,8 +4,10 @@ A document is the bag of its passages (PASSAGE bytes each, the whole text). Ever
 of its byte classes, its word shape and how well it compresses, encoded by one hidden layer, and weighted by gated
 attention (tanh times sigmoid); the weighted passage representation gives the score. Encoder, attention and output
 are learned together from document labels alone, on at most BAGS labelled documents (the documented bound of the
-sample, taken by a hash of the id). Null and empty texts are one passage without bytes and have a score too; without
-any label the score is 0.5 for all. Repeated rows get equal scores; extra columns are ignored.
+sample, taken by a hash of the id) of which at most MOST passages each, evenly spread, are learned from; scores read all
+passages. Null and empty texts are one passage without bytes and have a score too; without
+any label the score is 0.5 for all. Repeated rows get equal scores; extra columns are ignored; an empty table gives no rows.
+Of several labels of a document the least counts.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pixelweave.llm.common import SUB_BATCH, read, text_or_empty
 
 PASSAGE = 512
-BAGS = 4000
+BAGS, MOST = 4000, 64
 HIDDEN, GATE, EPOCHS, STEP = 16, 8, 40, 0.01
 
 #: Byte classes: letters by letter, then groups.
@@ -44,6 +46,11 @@ _SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 WIDTH = _N + 5
 
 
+def learned_from(bag: np.ndarray) -> np.ndarray:
+    """At most MOST passages of a bag, evenly spread from the first to the last."""
+    return bag if len(bag) <= MOST else bag[np.linspace(0, len(bag) - 1, MOST).round().astype(np.int64)]
+
+
 def passages(text: str) -> np.ndarray:
     """A row of WIDTH numbers for each passage."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -139,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     rows = docs.select(F.col(key), text_or_empty(text).alias("text")).join(F.broadcast(some), key)
 
     def described(batch: pa.RecordBatch) -> pa.Array:
-        return [passages(t).tobytes() for t in batch.to_pylist()]
+        return [learned_from(passages(t)).tobytes() for t in batch.to_pylist()]
 
     found = rows.select(key, "y", F.arrow_udf(lambda t: pa.array(described(t), pa.binary()), "binary")("text").alias("bag")).orderBy(F.xxhash64(key), key).limit(BAGS).collect()
     bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, WIDTH) for r in found]
