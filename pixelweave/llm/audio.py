@@ -4,7 +4,8 @@
 holds the clip's voiced spans and the buffer of an Arrow column of fixed-shape tensors, TENSOR frames by bands each;
 ``read_tensors`` gives it as a table with each tensor's time span. Null payloads are stored as empty ones; every clip is padded
 to a positive multiple of UNIT samples, so an empty text gives one unit of padding. A file that is no such WAV gives
-null features. Equal payloads give equal rows; repeated rows stay repeated.
+null features. Equal payloads give equal rows; repeated rows stay repeated. Extra columns are left out; clips of any
+length are read whole, in blocks; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -196,5 +197,8 @@ def op1_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         digest.alias("feature"),
+        f["frames"].alias("frames"),
+        f["spans"].alias("spans"),
+        f["tensors"].alias("tensors"),
     )
 
