@@ -1,13 +1,15 @@
 """Chat formatting: reply trees to conversations, in DataFrame functions only.
 
-Messages form trees by their parent. Iterative self-joins double the known part of every leaf's path (after k joins
-2^k messages of it), branches are ranked by score, and each chosen path becomes one conversation: every turn
+Messages form trees by their parent. Iterative self-joins double how far a step goes up (after k joins 2^k messages,
+with the sum of their scores), every path from a leaf to its root is followed in such steps, branches are ranked by
+their mean score, and each chosen path is expanded by the same steps and becomes one conversation: every turn
 ``<|im_start|>role\\ntext<|im_end|>\\n``, with spans (start, length in code points) of what is learned.
 Control strings inside texts are escaped reversibly: a backslash becomes two, ``<|`` becomes ``<\\|``, and in roles a
 line feed becomes ``<\\n|>``; an escape is one backslash, a doubled one is text. Null texts and roles are empty. A
 message without a known parent is a root; messages on a cycle have no root and so are on no path. Turns of a
 conversation with equal numbers are ordered by role and text, null numbers come first; a null conv_id is one
-conversation of its own. Extra columns are ignored.
+conversation of its own. Branches of equal score are ranked by their leaf. Repeated messages of a node count once. Texts of any length
+are formatted whole, extra columns are ignored, an empty table gives no conversations.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import read, staged
+from pixelweave.llm.common import dropped, read, staged
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -36,31 +38,69 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(role, F.lit("<\\n|>"), F.lit("\n")))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """nodes (tree, node, parent), tree and node not null; returns (tree, leaf, node, up): node is ``up`` steps above the leaf."""
-    nodes = nodes.select("tree", "node", "parent").dropDuplicates(["tree", "node"])
+def _steps(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (tree, node, above, total, n), the k-th for 2^k steps up: the node that is reached, and the scores and number of the nodes that are left behind."""
+    nodes = nodes.dropDuplicates(["tree", "node"])
     known = nodes.select("tree", F.col("node").alias("parent"))
-    step = staged(nodes.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above")), "steps")
-    leaves = nodes.join(step.select("tree", F.col("above").alias("node")).distinct(), ["tree", "node"], "left_anti")
-    found = staged(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("bigint").alias("up")), "paths")
+    own = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    step = staged(nodes.join(known, ["tree", "parent"]).select("tree", "node", F.col("parent").alias("above"), own.alias("total"), F.lit(1).cast("bigint").alias("n")), "steps")
     most = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
-    known_up = 1
-    jump = step
-    while known_up < most and not jump.isEmpty():
-        more = found.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + known_up).alias("up"))
-        found = staged(found.unionByName(more), "paths")
-        after = jump.select("tree", F.col("node").alias("above"), F.col("above").alias("next"))
-        jump = staged(jump.join(after, ["tree", "above"]).select("tree", "node", F.col("next").alias("above")), "steps")
-        known_up *= 2
-    ends = found.join(step.select("tree", "node").distinct(), ["tree", "node"], "left_anti").select("tree", "leaf")
-    return found.join(ends.distinct(), ["tree", "leaf"], "left_semi")
+    found = []
+    while not step.isEmpty() and 2 ** len(found) < most:
+        found.append(step)
+        after = step.select("tree", F.col("node").alias("above"), F.col("above").alias("next"), F.col("total").alias("more"), F.col("n").alias("m"))
+        step = staged(step.join(after, ["tree", "above"]).select("tree", "node", F.col("next").alias("above"), (F.col("total") + F.col("more")).alias("total"), (F.col("n") + F.col("m")).alias("n")), "steps")
+    return found
+
+
+def _branches(nodes: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, score, n): every path from a root to a leaf, as its leaf, its mean score and its length. Paths into a cycle have no root and are left out."""
+    own = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("own")
+    ends = nodes.dropDuplicates(["tree", "node"]).select("tree", "node", own)
+    if not steps:
+        return ends.select("tree", F.col("node").alias("leaf"), F.col("own").alias("score"), F.lit(1).cast("bigint").alias("n"))
+    inner = steps[0].select("tree", F.col("above").alias("node")).distinct()
+    at = ends.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0.0).alias("sum"), F.lit(0).cast("bigint").alias("far"))
+    for step in reversed(steps):  # the farthest jump first, as the digits of the depth
+        met = at.join(step, ["tree", "node"], "left")
+        at = met.select("tree", "leaf", F.coalesce("above", "node").alias("node"), (F.col("sum") + F.coalesce("total", F.lit(0.0))).alias("sum"), (F.col("far") + F.coalesce("n", F.lit(0))).alias("far"))
+    roots = ends.join(steps[0].select("tree", "node"), ["tree", "node"], "left_anti")
+    n = F.col("far") + 1
+    return at.join(roots, ["tree", "node"]).select("tree", "leaf", ((F.col("sum") + F.col("own")) / n).alias("score"), n.alias("n"))
+
+
+def _expanded(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
+    """(tree, leaf, node, up): all nodes of the paths of some leaves; node is ``up`` steps above the leaf."""
+    found = staged(leaves.select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("bigint").alias("up")), "paths")
+    for step in steps:
+        more = found.join(step.select("tree", "node", "above", "n"), ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("up") + F.col("n")).alias("up"))
+        longer = staged(found.unionByName(more), "paths")
+        dropped(found)
+        found = longer
+    return found
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """nodes (tree, node, parent), tree and node not null; returns (tree, leaf, node, up) of all paths from a root to a leaf."""
+    nodes = nodes.withColumn("score", F.lit(0.0))
+    steps = _steps(nodes)
+    return _expanded(_branches(nodes, steps), steps)
+
 
+def branches(nodes: DataFrame) -> DataFrame:
+    """nodes (tree, node, parent, score; null counts as 0): the rank of every path of a tree by mean score, of equal ones the least leaf first."""
+    ranked = Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")
+    return _branches(nodes, _steps(nodes)).withColumn("rank", F.row_number().over(ranked))
 
-def best_paths(found: DataFrame, scores: DataFrame) -> DataFrame:
-    """Of each tree the path with the highest mean score (scores: tree, node, score; null counts as 0), of equal ones that with the least leaf."""
-    ranked = found.join(scores, ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"))
-    chosen = ranked.groupBy("tree").agg(F.max_by("leaf", F.struct("score", -F.col("leaf"))).alias("leaf"))
-    return found.join(chosen, ["tree", "leaf"], "left_semi")
+
+def best_paths(nodes: DataFrame) -> DataFrame:
+    """nodes as in ``branches``: (tree, leaf, node, up) of the first branch of each tree. Only that one is expanded, the others are summed up while they are followed."""
+    steps = _steps(nodes)
+    chosen = _branches(nodes, steps).groupBy("tree").agg(F.max_by("leaf", F.struct("score", -F.col("leaf"))).alias("leaf"))
+    found = _expanded(chosen, steps)
+    for step in steps:
+        dropped(step)
+    return found
 
 
 def formatted(chosen: DataFrame, messages: DataFrame, learned: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -103,8 +143,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     attack = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ATTACK).alias("text"))
     messages = staged(chains(rows.unionByName(attack)), "messages")
-    every = paths(messages)
-    best = best_paths(every, messages.select("tree", "node", F.length("text").cast("double").alias("score")))
+    best = best_paths(messages.select("tree", "node", "parent", F.length("text").cast("double").alias("score")))
     out = formatted(best, messages)
     turns, learned = parsed(F.col("conversation")), learned_text(F.col("conversation"), F.col("mask"))
     out = out.select("tree", "conversation", turns.alias("turns"), learned.alias("learned"))
@@ -130,3 +169,32 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+def reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees with branches: of each conversation's turns, read as replies to turn (n - 1) / 2, the branch with the longest texts on average, formatted."""
+    rows = read(spark, sf_dir, "conversations").where("conv_id is not null and turn is not null")
+    parent = F.when(F.col("turn") > 0, F.floor((F.col("turn") - 1) / 2))
+    messages = rows.select(F.col("conv_id").cast("string").alias("tree"), F.col("turn").cast("bigint").alias("node"), parent.alias("parent"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    one = messages.groupBy("tree", "node", "parent").agg(F.min(F.struct("role", "text")).alias("m"))  # of repeated turns the least
+    messages = staged(one.select("tree", "node", "parent", "m.role", "m.text"), "replies")
+    chosen = best_paths(messages.select("tree", "node", "parent", F.length("text").cast("double").alias("score")))
+    out = formatted(chosen, messages)
+    return out.select(F.col("tree").cast("bigint").alias("conv_id"), "leaf", F.size(parsed(F.col("conversation"))).cast("bigint").alias("n_turns"), F.sha2("conversation", 256).alias("conversation_sha256"), F.size("mask").cast("bigint").alias("learned_turns"))
+
+
+REPLY_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn AS node, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+walk AS (
+  SELECT m.conv_id, node, length(text) AS total, 1 AS n, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS learned,
+    '<|im_start|>' || replace(replace(role, '', '\'), '<|', '<\|') || chr(10) || replace(replace(text, '', '\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS said
+  FROM m WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM m p WHERE p.conv_id = m.conv_id AND p.node = m.parent)
+  UNION ALL
+  SELECT m.conv_id, m.node, w.total + length(m.text), w.n + 1, w.learned + CASE WHEN m.role = 'assistant' THEN 1 ELSE 0 END,
+    w.said || '<|im_start|>' || replace(replace(m.role, '', '\'), '<|', '<\|') || chr(10) || replace(replace(m.text, '', '\'), '<|', '<\|') || '<|im_end|>' || chr(10)
+  FROM walk w JOIN m ON m.conv_id = w.conv_id AND m.parent = w.node),
+leaves AS (SELECT * FROM walk w WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.conv_id = w.conv_id AND m.parent = w.node)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY total / n DESC, node) AS rank FROM leaves)
+SELECT conv_id, node AS leaf, CAST(n AS BIGINT) AS n_turns, sha256(said) AS conversation_sha256, CAST(learned AS BIGINT) AS learned_turns FROM ranked WHERE rank = 1
+"""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pixelweave.llm.audio import op1_audio_features
-from pixelweave.llm.chat import OP8_SQL, op8_chat
+from pixelweave.llm.chat import OP8_SQL, REPLY_SQL, op8_chat, reply_trees
 from pixelweave.llm.language import op10_language
 from pixelweave.llm.packing import op5_packing
 from pixelweave.llm.pieces import op3_sentencepiece
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_pii": op9_pii,
     "op10_language": op10_language,
+    "reply_trees": reply_trees,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_chat": OP8_SQL, "reply_trees": REPLY_SQL}
