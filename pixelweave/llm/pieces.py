@@ -5,7 +5,8 @@ normalised). The automaton reads each character once; at every position it gives
 that end there (longest first), and each relaxes the best score of that position. Characters without a piece cost UNKNOWN below the
 worst piece and become byte pieces. Of equal scores the longer last piece wins. No piece has U+2581 after another character, nor a
 line feed, so texts are cut before words and at line feeds, and the results of short cuts are remembered. Null texts are empty and give
-no ids. Decoding gives the text back unless it held U+2581 itself, which comes back as a space.
+no ids. Decoding gives the text back unless it held U+2581 itself, which comes back as a space. Texts are encoded whole, however long;
+repeated rows give repeated results; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ split into blocks whose pairs are separate tasks.
 
 Null and empty texts have fingerprint zero, linked like any other; texts of fewer than four words are one shingle.
 Equal fingerprints are one node, so copies cost nothing. Rows with a null doc_id get a component too, but name none.
+Texts are read whole; repeated rows give repeated results; extra columns are ignored (``first_of_each`` keeps them); an empty table gives no rows.
 """
 
 from __future__ import annotations

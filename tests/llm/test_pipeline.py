@@ -9,7 +9,8 @@ import corpus_pipeline
 from pixelweave.llm import pii, simhash
 from pixelweave.llm.common import read, staged
 from tests.conftest import SF
-from tests.llm.test_llm import brute_components, empty, odd, reference_fingerprint  # noqa: F401
+from tests.llm.test_llm import empty, odd  # noqa: F401
+from tests.llm.test_near import kept_by_brute_force
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +33,7 @@ def test_stages(steps):
 def test_near_duplicates_keep_the_first(steps):
     _, before, after = steps[2]
     rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
-    roots = brute_components([reference_fingerprint(t) for _, t in rows])
-    assert sorted(r["doc_id"] for r in after.select("doc_id").collect()) == sorted({rows[k][0] for k in roots})
+    assert sorted(r["doc_id"] for r in after.select("doc_id").collect()) == sorted(kept_by_brute_force(rows))
 
 
 def test_redaction(steps):
