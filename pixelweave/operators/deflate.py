@@ -1,8 +1,10 @@
-"""DEFLATE encoding: matches, parses, block splitting and bit output, one stream at a time.
+"""DEFLATE encoding: matches, parses, block splitting and bit output.
 
-Matches are found along chains of equal three-byte keys (exact keys, built by one stable sort), and at near and row
-distances. The first pass is lazy; later passes find the cheapest path under prices of the pass before. Every block
-takes the least of stored, fixed and dynamic coding. The bit stream is plain DEFLATE: any decoder reads it.
+A stream is taken in regions of REGION bytes, so what is held is bounded; matches reach into the window before a region.
+For every position and every key length the nearest earlier occurrence is found by sorting hashed keys, however many
+others there are, so no chain is ever left early. The first pass is lazy; later passes find the cheapest path under prices of the
+pass before, from the end to the beginning, many segments of the stream in lock-step. Every block takes the least of
+stored, fixed and dynamic coding. The bit stream is plain DEFLATE: any decoder reads it.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from __future__ import annotations
 import dataclasses
 import math
 import zlib
-from bisect import bisect_left
+from collections.abc import Sequence
 
 import numpy as np
 
@@ -18,9 +20,13 @@ from pixelweave.operators import huffman
 from pixelweave.operators.inflate import CODE_ORDER, DISTANCE_BASE, DISTANCE_EXTRA, FIXED_LENGTHS, LENGTH_BASE, LENGTH_EXTRA
 
 STORE, FAST, DEFAULT, BEST, ULTRA = 0, 1, 6, 9, 12
-DEPTH = {FAST: 16, DEFAULT: 64, BEST: 128, ULTRA: 256}
 WINDOW, LONGEST, NICE = 32768, 258, 32
-_TRIED = [*range(3, NICE + 1), *[b - 1 for b in LENGTH_BASE if b > NICE + 1]]
+REGION = 1 << 21
+#: Key lengths whose nearest earlier occurrences are candidates.
+KEYS = {FAST: (3, 5, 8, 16, 64), DEFAULT: (3, 4, 5, 6, 8, 11, 16, 32, 64, 128, 258)}
+KEYS |= dict.fromkeys((BEST, ULTRA), (3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 258))
+#: Segments of the lock-step search: least and most bytes, and how far each looks beyond its end.
+SEGMENT, AHEAD = (512, 8192), 320
 
 LENGTH_CODE = [0] * 259
 for _k, _b in enumerate(LENGTH_BASE):
@@ -32,137 +38,171 @@ def distance_code(d: int) -> int:
     """From 1 on; codes double their range every second code."""
     if d <= 4:
         return d - 1
-    high = (d - 1).bit_length() - 1
+    high = int(d - 1).bit_length() - 1
     return 2 * high + ((d - 1) >> (high - 1) & 1)
 
 
+_LENGTH_CODE, _LENGTH_BASE, _LENGTH_EXTRA = np.array(LENGTH_CODE), np.array(LENGTH_BASE), np.array(LENGTH_EXTRA)
+_DISTANCE_CODE = np.searchsorted(np.array(DISTANCE_BASE), np.arange(WINDOW + 1), "right") - 1
+_DISTANCE_BASE, _DISTANCE_EXTRA = np.array(DISTANCE_BASE), np.array(DISTANCE_EXTRA)
+
+
 @dataclasses.dataclass(frozen=True)
 class Options:
     level: int = BEST
     passes: int = 1
     split: bool = True
     max_block: int = 65535
-    depth: int = 0  # 0: by level
-    row: int = 0  # bytes of a scanline, for probes of the rows above
+    row: int = 0  # bytes of a scanline; near and row distances need no probes of their own, as the nearest occurrence is always found
 
     @property
-    def steps(self) -> int:
-        return self.depth or DEPTH.get(self.level, DEPTH[BEST])
+    def keys(self) -> tuple[int, ...]:
+        return KEYS.get(self.level, KEYS[BEST])
 
 
 Token = tuple[int, int]  # (byte, 0) or (length, distance)
+Tokens = np.ndarray | Sequence[Token]  # rows of that
 
 
-class Finder:
-    """Match frontiers: for each position, ever longer matches at ever longer distances."""
-
-    def __init__(self, data: bytes, options: Options) -> None:
-        self.data, self.options = data, options
-        n = len(data)
-        self.before = np.full(n, -1, np.int64)
-        if n >= 3:
-            x = np.frombuffer(data, np.uint8).astype(np.int64)
-            key = x[:-2] << 16 | x[1:-1] << 8 | x[2:]
-            order = np.argsort(key, kind="stable")
-            same = key[order[1:]] == key[order[:-1]]
-            self.before[order[1:][same]] = order[:-1][same]
-        self.before = self.before.tolist()
-        row = options.row
-        near = {1, 2, 3, 4} | ({m * row + d for m in (1, 2) for d in range(-4, 5)} if row else set())
-        self.near = sorted(d for d in near if d > 0)
-        self.known: dict[int, list[Token]] = {}
-
-    def common(self, i: int, j: int, most: int, n: int = 0) -> int:
-        data = self.data
-        while n + 16 <= most and data[i + n : i + n + 16] == data[j + n : j + n + 16]:
-            n += 16
-        while n < most and data[i + n] == data[j + n]:
-            n += 1
-        return n
+def as_tokens(tokens: Tokens) -> np.ndarray:
+    return np.asarray(tokens, np.int64).reshape(-1, 2)
+
+
+def sizes_of(tokens: np.ndarray) -> np.ndarray:
+    return np.where(tokens[:, 1] > 0, tokens[:, 0], 1)
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
-    def at(self, i: int) -> list[Token]:
-        """(length, distance) pairs, both ascending."""
-        found = self.known.get(i)
-        if found is None:
-            found = self.known[i] = self._search(i)
-        return found
-
-    def _search(self, i: int) -> list[Token]:
-        """Along the chain, nearest first; once a match is NICE a few more steps do. Probes serve where the chain was left early."""
-        data, before, most = self.data, self.before, min(LONGEST, len(self.data) - i)
-        out: list[Token] = []
-        if most < 3:
-            return out
-        best, steps, limit = 2, self.options.steps, max(0, i - WINDOW)
-        j, last = before[i], i
-        while j >= limit and steps:
-            if data[j + best] == data[i + best] and data[j : j + best] == data[i : i + best]:
-                n = self.common(i, j, most, best)
-                if n > best:
-                    best = n
-                    out.append((n, i - j))
-                    if best == most:
-                        return out
-                    if best >= NICE:
-                        steps = min(steps, 16)
-            last, j, steps = j, before[j], steps - 1
-        if not steps:
-            for d in self.near:
-                k = i - d
-                if limit <= k < last and best < most and data[k : k + best + 1] == data[i : i + best + 1]:
-                    best = self.common(i, k, most, best)
-                    out.append((best, d))
-        return out
 
-    def longest(self, i: int) -> Token:
-        """The match of the best score: 256 for a byte, less 32 for an extra bit of the distance; of equal ones the nearer."""
-        best, top = (0, 0), -math.inf
-        for n, d in self.at(i):
-            score = 256 * n - 32 * DISTANCE_EXTRA[distance_code(d)]
-            if score > top:
-                best, top = (n, d), score
-        return best
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * _MIX + b
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
-def greedy(finder: Finder, start: int = 0, end: int | None = None) -> list[Token]:
+class Finder:
+    """Match frontiers of a region: for each position, ever longer matches at ever longer distances, each the nearest of its length."""
+
+    def __init__(self, data: bytes, options: Options, start: int = 0, end: int | None = None) -> None:
+        self.data, self.start, self.end = data, start, len(data) if end is None else end
+        self.bytes = np.frombuffer(data, np.uint8, self.end - start, start)
+        found = self._search(options.keys)
+        n = self.end - start
+        place, size, dist = (np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        order = np.argsort(place, kind="stable")  # a position's matches stay in the order of their lengths
+        self.first = np.zeros(n + 1, np.int64)
+        np.cumsum(np.bincount(place, minlength=n), out=self.first[1:])
+        self.size, self.dist = size[order].astype(np.int64), dist[order].astype(np.int64)
+        self._longest: tuple[list[int], list[int]] | None = None
+
+    def _search(self, keys: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        begin = max(0, self.start - WINDOW)
+        x = np.frombuffer(self.data, np.uint8, self.end - begin, begin)
+        n, shift = len(x), self.start - begin
+        if n < 3:
+            return []
+        # hashes of 1, 2, 4 ... 256 bytes; where the data end a hash takes what there is, and no length beyond the end is used
+        hashes = [_mixed(x.astype(np.uint64), np.uint64(1))]
+        for k in range(8):
+            h, p = hashes[-1], 1 << k
+            hashes.append(_mixed(h, np.concatenate([h[p:], np.zeros(min(p, n), np.uint64)])))
+        bits = np.uint64(max(1, (n - 1).bit_length()))
+        low = (np.uint64(1) << bits) - np.uint64(1)
+        active = np.arange(n)
+        known = np.zeros(n, np.int64)  # how far a position's candidates reach so far
+        out = []
+        for key in keys:
+            active = active[active <= n - key]
+            if len(active) < 2:
+                break
+            k = key.bit_length() - 1
+            h = hashes[k]
+            own = _mixed(h[active], h[active + key - (1 << k)])
+            packed = np.sort((own & ~low) | active.astype(np.uint64))
+            same = (packed[1:] ^ packed[:-1]) <= low
+            at = (packed & low).astype(np.int64)
+            later, before = at[1:][same], at[:-1][same]
+            kept = np.zeros(n, bool)
+            kept[later] = kept[before] = True
+            active = np.flatnonzero(kept)
+            fresh = (known[later] < key) & (later - before <= WINDOW) & (later >= shift)
+            later, before = later[fresh], before[fresh]
+            if len(later):
+                size = self._common(hashes, later, before, n)
+                good = size >= key
+                later, before, size = later[good], before[good], size[good]
+                known[later] = size
+                out.append((later - shift, size, later - before))
+        return out
+
+    @staticmethod
+    def _common(hashes: list[np.ndarray], i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+        """How many bytes at i and j are equal, LONGEST at most: powers of two from the largest down."""
+        most, size = np.minimum(LONGEST, n - i), np.zeros(len(i), np.int64)
+        for k in (8, 7, 6, 5, 4, 3, 2, 1, 0):
+            fits = np.flatnonzero(size + (1 << k) <= most)
+            h = hashes[k]
+            equal = fits[h[i[fits] + size[fits]] == h[j[fits] + size[fits]]]
+            size[equal] += 1 << k
+        return size
+
+    def at(self, i: int) -> list[Token]:
+        """(length, distance) pairs, both ascending."""
+        s, e = self.first[i - self.start], self.first[i - self.start + 1]
+        return list(zip(self.size[s:e].tolist(), self.dist[s:e].tolist(), strict=True))
+
+    def longest(self) -> tuple[list[int], list[int]]:
+        """For each position the match of the best score (256 for a byte, less 32 for an extra bit of the distance; of equal ones the nearer) as lists of lengths and distances; 0 for none."""
+        if self._longest is None:
+            n = self.end - self.start
+            size, dist = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            counts = np.diff(self.first)
+            some = np.flatnonzero(counts)
+            if len(some):
+                score = 256 * self.size - 32 * _DISTANCE_EXTRA[_DISTANCE_CODE[self.dist]]
+                rank = np.arange(len(score)) - np.repeat(self.first[some], counts[some])
+                best = np.maximum.reduceat(((score + 512) << 8) | (255 - rank), self.first[some])
+                pick = self.first[some] + 255 - (best & 255)
+                size[some], dist[some] = self.size[pick], self.dist[pick]
+            self._longest = size.tolist(), dist.tolist()
+        return self._longest
+
+
+def greedy(finder: Finder) -> np.ndarray:
     """Lazy parse: a match waits for up to three positions while a later one is longer by more than it skips."""
-    data, end = finder.data, len(finder.data) if end is None else end
+    data, n = finder.bytes.tolist(), finder.end - finder.start
+    size, dist = finder.longest()
     out: list[Token] = []
-    i = start
-    while i < end:
-        n, d = finder.longest(i)
-        n = min(n, end - i)
-        if n < 3:
+    i = 0
+    while i < n:
+        k = size[i]
+        if k < 3:
             out.append((data[i], 0))
             i += 1
             continue
-        if n < NICE:
-            for skip in range(1, min(4, end - i)):
-                later = min(finder.longest(i + skip)[0], end - i - skip)
-                if later > n + skip:
-                    out += [(data[i + k], 0) for k in range(skip)]
+        if k < NICE:
+            for skip in range(1, min(4, n - i)):
+                if size[i + skip] > k + skip:
+                    out += [(data[i + j], 0) for j in range(skip)]
                     i += skip
-                    n, d = finder.longest(i)
-                    n = min(n, end - i)
+                    k = size[i]
                     break
-        out.append((n, d))
-        i += n
-    return out
-
-
-def histograms(tokens: list[Token]) -> tuple[list[int], list[int]]:
-    literals, distances = [0] * 288, [0] * 32
-    for n, d in tokens:
-        if d:
-            literals[257 + LENGTH_CODE[n]] += 1
-            distances[distance_code(d)] += 1
-        else:
-            literals[n] += 1
+        out.append((k, dist[i]))
+        i += k
+    return as_tokens(out)
+
+
+def histograms(tokens: Tokens) -> tuple[list[int], list[int]]:
+    t = as_tokens(tokens)
+    match = t[:, 1] > 0
+    literals = np.bincount(t[~match, 0], minlength=288) + np.bincount(257 + _LENGTH_CODE[t[match, 0]], minlength=288)
     literals[256] = 1
-    return literals, distances
+    return literals.tolist(), np.bincount(_DISTANCE_CODE[t[match, 1]], minlength=32).tolist()
 
 
-def prices(tokens: list[Token], turn: int) -> tuple[list[int], list[int]]:
+def prices(tokens: Tokens, turn: int) -> tuple[list[int], list[int]]:
     """Costs in 1/1024 bits of literal-length and distance symbols: entropy first, then more and more the code itself, at last with small fixed nudges."""
     share = {0: 1.0, 1: 0.5, 2: 0.15}.get(turn, 0.4)
     out = []
@@ -178,60 +218,91 @@ def prices(tokens: list[Token], turn: int) -> tuple[list[int], list[int]]:
     return out[0], out[1]
 
 
-def optimal(finder: Finder, literal: list[int], distance: list[int], start: int = 0, end: int | None = None) -> list[Token]:
-    """The cheapest path over positions; of equal ones matches before literals, longer and nearer ones first.
+def _segments(ranges: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
+    """First position, end, end of what is looked at, and range of each segment; longest first."""
+    total = sum(e - s for s, e in ranges)
+    span = min(SEGMENT[1], max(SEGMENT[0], total // 128))
+    rows = [(a, min(a + span, e), min(a + span + AHEAD, e), g) for g, (s, e) in enumerate(ranges) for a in range(s, e, span)]
+    rows.sort(key=lambda r: r[0] - r[2])
+    return tuple(np.array(rows, np.int64).reshape(-1, 4).T)
+
 
-    Where a match of the longest size begins, it is taken whole and the search goes on shortly before its end.
+def cheapest_steps(finder: Finder, ranges: list[tuple[int, int]], costs: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """For every position of the ranges (relative to the region) the size and distance of the step that begins the cheapest way to the range's end.
+
+    Each segment is searched from its end backwards, all of them in lock-step; a segment starts AHEAD beyond its end, where the
+    way's cost hardly depends on where it started. Of equal ways matches come before literals, longer and nearer ones first.
     """
-    data, end = finder.data, len(finder.data) if end is None else end
-    n = end - start
-    by_length = [0, 0, 0] + [literal[257 + LENGTH_CODE[k]] + 1024 * LENGTH_EXTRA[LENGTH_CODE[k]] for k in range(3, 259)]
-    by_code = [distance[c] + 1024 * DISTANCE_EXTRA[c] for c in range(30)]
-    cost = [0] + [1 << 60] * n
-    came: list[Token] = [(0, 0)] * (n + 1)
-    ahead = 0
-    for i in range(n):
-        now = cost[i]
-        if i < ahead or now >= 1 << 60:
-            continue  # within a longest match that is taken as it is
-        found = finder.at(start + i)
-        if found and found[-1][0] == LONGEST <= n - i:
-            size, d = found[-1]
-            step = now + by_length[size] + by_code[distance_code(d)]
-            if step <= cost[i + size]:
-                cost[i + size], came[i + size] = step, (size, d)
-            ahead = i + LONGEST - NICE
-            if ahead > i + 1 and cost[i + LONGEST] < 1 << 60:
-                for j in range(i + 1, ahead + 1):  # literals lead to where the search goes on
-                    step = cost[j - 1] + literal[data[start + j - 1]]
-                    if step < cost[j]:
-                        cost[j], came[j] = step, (data[start + j - 1], 0)
-            continue
-        step = now + literal[data[start + i]]
-        if step < cost[i + 1]:
-            cost[i + 1], came[i + 1] = step, (data[start + i], 0)
-        size = 3
-        for most, d in found:
-            most = min(most, n - i)
-            base = now + by_code[distance_code(d)]
-            # beyond NICE only code borders and the whole length are tried
-            for k in (*_TRIED[bisect_left(_TRIED, size) : bisect_left(_TRIED, most)], *([most] if most >= size else ())):
-                step = base + by_length[k]
-                if step < cost[i + k] or step == cost[i + k] and not came[i + k][1]:
-                    cost[i + k], came[i + k] = step, (k, d)
-            size = max(size, most + 1)
-    out, i = [], n
-    while i:
-        token = came[i]
-        out.append(token)
-        i -= token[0] if token[1] else 1
-    return out[::-1]
+    n = finder.end - finder.start
+    literal, distance = (np.array([c[k] for c in costs], np.int64) for k in (0, 1))
+    by_length = np.zeros((len(costs), LONGEST + 1), np.int64)
+    by_length[:, 3:] = literal[:, 257 + _LENGTH_CODE[3:]] + 1024 * _LENGTH_EXTRA[_LENGTH_CODE[3:]]
+    by_code = distance[:, :30] + 1024 * _DISTANCE_EXTRA
+    of = np.zeros(n, np.int64)
+    for g, (s, e) in enumerate(ranges):
+        of[s:e] = g
+    counts = np.diff(finder.first)
+    single = literal[of, finder.bytes]
+    match = by_code[np.repeat(of, counts), _DISTANCE_CODE[finder.dist]] << 9
+    starts, ends, beyond, group = _segments(ranges)
+    reach = beyond - starts
+    table = np.zeros((len(starts), int(reach.max(initial=0)) + 1), np.int64)
+    step_size, step_distance = np.ones(n, np.int64), np.zeros(n, np.int64)
+    tie, each, places = 511 - np.arange(LONGEST + 1), np.arange(max(1, int(counts.max(initial=0)))), np.arange(len(starts))
+    rows = len(starts)
+    last = max(0, len(match) - 1)
+    for s in range(1, table.shape[1]):
+        while reach[rows - 1] < s:
+            rows -= 1
+        at = beyond[:rows] - s
+        now = table[:rows, s - 1] + single[at]
+        own = counts[at]
+        many = int(own.max())
+        if many and s >= 3:
+            cell = np.minimum(finder.first[at][:, None] + each[:many], last)
+            size = np.where(each[:many] < own[:, None], np.minimum(finder.size[cell], s), 0)
+            most = int(size.max())
+            if most >= 3:
+                lengths = by_length[0, 3 : most + 1] if len(costs) == 1 else by_length[group[:rows], 3 : most + 1]
+                ways = ((table[:rows, s - most : s - 2][:, ::-1] + lengths) << 9) | tie[3 : most + 1]
+                np.minimum.accumulate(ways, axis=1, out=ways)
+                value = np.where(size >= 3, ways[places[:rows, None], np.maximum(size - 3, 0)] + match[cell], 1 << 62)
+                k = value.argmin(1)
+                best = value[places[:rows], k]
+                better = (best >> 9) <= now
+                now = np.where(better, best >> 9, now)
+                mine = better & (at < ends[:rows])
+                step_size[at[mine]] = 511 - (best[mine] & 511)
+                step_distance[at[mine]] = finder.dist[cell[mine, k[mine]]]
+        table[:rows, s] = now
+    return step_size, step_distance
+
+
+def walked(finder: Finder, steps: tuple[np.ndarray, np.ndarray], start: int, end: int) -> np.ndarray:
+    """The tokens of a range (relative to the region), step by step."""
+    size, dist = steps[0][start:end].tolist(), steps[1][start:end]
+    at, i, n = [], 0, end - start
+    while i < n:
+        at.append(i)
+        i += size[i]
+    at = np.array(at, np.int64)
+    taken, far = steps[0][start:end][at], dist[at]
+    return np.stack([np.where(far > 0, taken, finder.bytes[start:end][at]), far], 1)
+
+
+def optimal(finder: Finder, literal: list[int], distance: list[int]) -> np.ndarray:
+    """The cheapest path over a region under given prices."""
+    n = finder.end - finder.start
+    if not n:
+        return as_tokens([])
+    return walked(finder, cheapest_steps(finder, [(0, n)], [(literal, distance)]), 0, n)
 
 
 class Writer:
     """Bits, least significant first."""
 
     def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.values: list[int] = []
         self.sizes: list[int] = []
         self.bits = 0
@@ -242,16 +313,32 @@ class Writer:
             self.sizes.append(size)
             self.bits += size
 
+    def put_all(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self._flush()
+        self.parts.append((values.astype(np.uint64), sizes.astype(np.int64)))
+        self.bits += int(sizes.sum())
+
+    def _flush(self) -> None:
+        if self.sizes:
+            self.parts.append((np.array(self.values, np.uint64), np.array(self.sizes, np.int64)))
+            self.values, self.sizes = [], []
+
     def align(self) -> None:
         self.put(0, -self.bits % 8)
 
     def data(self) -> bytes:
-        values, sizes = np.array(self.values, np.uint64), np.array(self.sizes, np.int64)
-        if not len(sizes):
-            return b""
-        place = np.arange(self.bits) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        bits = (np.repeat(values, sizes) >> place.astype(np.uint64)) & np.uint64(1)
-        return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+        """What was put, packed some thousand values at a time; bits of a byte that isn't full go to the next pack."""
+        self._flush()
+        out, rest = [], np.empty(0, np.uint8)
+        for values, sizes in self.parts:
+            for k in range(0, len(sizes), 1 << 16):
+                v, n = values[k : k + (1 << 16)], sizes[k : k + (1 << 16)]
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                bits = np.concatenate([rest, ((np.repeat(v, n) >> place.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)])
+                full = len(bits) - len(bits) % 8
+                out.append(np.packbits(bits[:full], bitorder="little").tobytes())
+                rest = bits[full:]
+        return b"".join([*out, np.packbits(rest, bitorder="little").tobytes()])
 
 
 FIXED_DISTANCES = [5] * 30
@@ -262,7 +349,7 @@ def _body_bits(literals: list[int], distances: list[int], by_literal: list[int],
     return bits + sum(literals[257 + k] * e for k, e in enumerate(LENGTH_EXTRA)) + sum(distances[k] * e for k, e in enumerate(DISTANCE_EXTRA))
 
 
-def block_costs(tokens: list[Token], size: int, at_bit: int = 0) -> dict[str, int]:
+def block_costs(tokens: Tokens, size: int, at_bit: int = 0) -> dict[str, int]:
     """Exact bits of the three codings, their three-bit heads included; stored data is cut at 65535 bytes."""
     literals, distances = histograms(tokens)
     by_literal, by_distance = _trees(literals, distances)
@@ -282,20 +369,23 @@ def _trees(literals: list[int], distances: list[int]) -> tuple[list[int], list[i
     return by_literal, by_distance
 
 
-def _put_tokens(out: Writer, tokens: list[Token], by_literal: list[int], by_distance: list[int]) -> None:
-    a = [huffman.reverse(c, n) for c, n in zip(huffman.canonical(by_literal), by_literal, strict=True)]
-    b = [huffman.reverse(c, n) for c, n in zip(huffman.canonical(by_distance), by_distance, strict=True)]
-    for n, d in tokens:
-        if not d:
-            out.put(a[n], by_literal[n])
-            continue
-        k = LENGTH_CODE[n]
-        out.put(a[257 + k], by_literal[257 + k])
-        out.put(n - LENGTH_BASE[k], LENGTH_EXTRA[k])
-        k = distance_code(d)
-        out.put(b[k], by_distance[k])
-        out.put(d - DISTANCE_BASE[k], DISTANCE_EXTRA[k])
-    out.put(a[256], by_literal[256])
+def _put_tokens(out: Writer, tokens: np.ndarray, by_literal: list[int], by_distance: list[int]) -> None:
+    """A value for each token: its code, the extra bits of its length, the code and extra bits of its distance, one above the other."""
+    code = lambda lengths: np.array([huffman.reverse(c, n) for c, n in zip(huffman.canonical(lengths), lengths, strict=True)], np.int64)
+    a, a_bits, b, b_bits = code(by_literal), np.array(by_literal), code(by_distance), np.array(by_distance)
+    t = as_tokens(tokens)
+    match = t[:, 1] > 0
+    values, sizes = np.empty(len(t) + 1, np.int64), np.empty(len(t) + 1, np.int64)
+    literal = t[~match, 0]
+    values[:-1][~match], sizes[:-1][~match] = a[literal], a_bits[literal]
+    n, d = t[match, 0], t[match, 1]
+    k, c = _LENGTH_CODE[n], _DISTANCE_CODE[d]
+    value, size = a[257 + k], a_bits[257 + k]
+    for more, bits in ((n - _LENGTH_BASE[k], _LENGTH_EXTRA[k]), (b[c], b_bits[c]), (d - _DISTANCE_BASE[c], _DISTANCE_EXTRA[c])):
+        value, size = value | (more << size), size + bits
+    values[:-1][match], sizes[:-1][match] = value, size
+    values[-1], sizes[-1] = a[256], a_bits[256]
+    out.put_all(values, sizes)
 
 
 def put_stored(out: Writer, raw: bytes, last: bool) -> None:
@@ -306,11 +396,10 @@ def put_stored(out: Writer, raw: bytes, last: bool) -> None:
         out.align()
         out.put(len(part), 16)
         out.put(len(part) ^ 0xFFFF, 16)
-        for v in part:
-            out.put(v, 8)
+        out.put_all(np.frombuffer(part, np.uint8), np.full(len(part), 8))
 
 
-def put_block(out: Writer, tokens: list[Token], raw: bytes, last: bool) -> str:
+def put_block(out: Writer, tokens: Tokens, raw: bytes, last: bool) -> str:
     """Writes the cheapest coding: fixed unless another is less, then stored unless dynamic is."""
     costs = block_costs(tokens, len(raw), out.bits)
     kind = "fixed" if costs["fixed"] <= min(costs.values()) else "stored" if costs["stored"] <= costs["dynamic"] else "dynamic"
@@ -348,21 +437,20 @@ def _estimate(literals: np.ndarray, distances: np.ndarray) -> float:
     return bits + float(literals[257:286] @ np.array(LENGTH_EXTRA)) + float(distances[:30] @ np.array(DISTANCE_EXTRA))
 
 
-def split_tokens(tokens: list[Token], size: int, most: int, least: int = 4096) -> list[tuple[int, int]]:
+def split_tokens(tokens: Tokens, size: int, most: int, least: int = 4096) -> list[tuple[int, int]]:
     """Token ranges of blocks: the cheapest segmentation over cuts about every max(4096, size/1024) bytes; one block if none is feasible."""
-    ends = np.cumsum([n if d else 1 for n, d in tokens]) if tokens else np.zeros(0, np.int64)
+    t = as_tokens(tokens)
+    ends = np.cumsum(sizes_of(t))
     every = max(4096, size // 1024)
     cuts = [0]
-    for k, e in enumerate(ends.tolist()):
-        if e - (ends[cuts[-1] - 1] if cuts[-1] else 0) >= every:
-            cuts.append(k + 1)
-    if cuts[-1] != len(tokens):
-        cuts.append(len(tokens))
+    while cuts[-1] < len(t):
+        k = int(np.searchsorted(ends, (ends[cuts[-1] - 1] if cuts[-1] else 0) + every, "left"))
+        cuts.append(min(k + 1, len(t)))
     if len(cuts) <= 2:
-        return [(0, len(tokens))]
+        return [(0, len(t))]
     sums = [(np.zeros(288, np.int64), np.zeros(32, np.int64))]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        x, y = histograms(tokens[a:b])
+        x, y = (np.array(h) for h in histograms(t[a:b]))
         x[256] = 0
         sums.append((sums[-1][0] + x, sums[-1][1] + y))
     place = [0, *[int(ends[c - 1]) for c in cuts[1:]]]
@@ -380,7 +468,7 @@ def split_tokens(tokens: list[Token], size: int, most: int, least: int = 4096) -
             if total < cost[j]:
                 cost[j], came[j] = total, i
     if cost[-1] == math.inf:
-        return [(0, len(tokens))]
+        return [(0, len(t))]
     out, j = [], len(cuts) - 1
     while j:
         out.append((cuts[came[j]], cuts[j]))
@@ -392,6 +480,31 @@ def split_fixed(size: int, most: int) -> list[tuple[int, int]]:
     return [(at, min(at + most, size)) for at in range(0, max(1, size), most)]
 
 
+def _best_blocks(finder: Finder, options: Options) -> list[np.ndarray]:
+    """The tokens of each block of a region: passes over all of it, cuts where the codes change, passes over each block with its own prices."""
+    n = finder.end - finder.start
+    tokens = best = greedy(finder)
+    cheapest = min(block_costs(tokens, n).values())
+    for turn in range(options.passes - 1):
+        tokens = optimal(finder, *prices(tokens, turn))
+        total = min(block_costs(tokens, n).values())
+        if total < cheapest:
+            best, cheapest = tokens, total
+    spans = split_tokens(best, n, options.max_block) if options.split else [(0, len(best))]
+    parts = [best[a:b] for a, b in spans]
+    if len(parts) > 1 and options.passes >= 2:
+        sizes = [int(sizes_of(p).sum()) for p in parts]
+        borders = np.cumsum([0, *sizes]).tolist()
+        ranges = list(zip(borders[:-1], borders[1:], strict=True))
+        for turn in range(min(2, options.passes - 1)):
+            steps = cheapest_steps(finder, ranges, [prices(p, turn) for p in parts])
+            for k, (a, b) in enumerate(ranges):
+                again = walked(finder, steps, a, b)
+                if min(block_costs(again, sizes[k]).values()) < min(block_costs(parts[k], sizes[k]).values()):
+                    parts[k] = again
+    return parts
+
+
 def compress(data: bytes, options: Options | None = None) -> bytes:
     """A raw DEFLATE stream."""
     options = options or Options()
@@ -399,26 +512,14 @@ def compress(data: bytes, options: Options | None = None) -> bytes:
     if options.level == STORE:
         put_stored(out, data, True)
         return out.data()
-    finder = Finder(data, options)
-    tokens = greedy(finder)
-    best, cheapest = tokens, min(block_costs(tokens, len(data)).values())
-    for turn in range(options.passes - 1):
-        tokens = optimal(finder, *prices(tokens, turn))
-        total = min(block_costs(tokens, len(data)).values())
-        if total < cheapest:
-            best, cheapest = tokens, total
-    spans = split_tokens(best, len(data), options.max_block) if options.split else [(0, len(best))]
     at = 0
-    for k, (a, b) in enumerate(spans):
-        part = best[a:b]
-        size = sum(n if d else 1 for n, d in part)
-        if len(spans) > 1 and options.passes >= 2 and size >= 128:
-            for turn in range(min(2, options.passes - 1)):
-                again = optimal(finder, *prices(part, turn), at, at + size)
-                if min(block_costs(again, size, out.bits).values()) < min(block_costs(part, size, out.bits).values()):
-                    part = again
-        put_block(out, part, data[at : at + size], k == len(spans) - 1)
-        at += size
+    for start in range(0, max(1, len(data)), REGION):
+        finder = Finder(data, options, start, min(len(data), start + REGION))
+        parts = _best_blocks(finder, options)
+        for k, part in enumerate(parts):
+            size = int(sizes_of(part).sum())
+            put_block(out, part, data[at : at + size], k == len(parts) - 1 and finder.end == len(data))
+            at += size
     return out.data()
 
 

@@ -14,12 +14,10 @@ from pixelweave.model import GRAY, INDEXED, RGB, Frame, Image
 from pixelweave.operators import deflate, filters
 
 PIECE = 1 << 30
-#: Streams up to this size are also encoded by the package's own encoder.
-OWN_LIMIT = 1 << 16
 
 
 def best_zlib(data: bytes, options: deflate.Options | None = None) -> bytes:
-    """The least of the library's encodings and, for streams that it can take in good time, the package's own."""
+    """The least of the library's encodings and, if more than one pass is asked for, the package's own."""
     options = options or deflate.Options()
     if options.level == deflate.STORE:
         return deflate.zlib_compress(data, options)
@@ -27,7 +25,7 @@ def best_zlib(data: bytes, options: deflate.Options | None = None) -> bytes:
     for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FILTERED) if options.level >= deflate.BEST else (zlib.Z_DEFAULT_STRATEGY,):
         z = zlib.compressobj(min(9, options.level), zlib.DEFLATED, 15, 9, strategy)
         tries.append(z.compress(data) + z.flush())
-    if options.passes > 1 and len(data) <= OWN_LIMIT:
+    if options.passes > 1:
         tries.append(deflate.zlib_compress(data, options))
     return min(tries, key=len)
 

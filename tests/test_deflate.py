@@ -4,11 +4,12 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from pixelweave.operators import deflate, huffman, inflate
+from pixelweave.operators import deflate, filters, huffman, inflate
 
 
 def cost(f, lengths):
@@ -82,6 +83,61 @@ def test_no_worse_than_the_library():
     assert len(deflate.zlib_compress(text, deflate.Options(deflate.ULTRA, 3))) <= len(zlib.compress(text, 9))
 
 
+def photo(width, height):
+    rng = np.random.default_rng(width)
+    y, x = np.mgrid[0:height, 0:width]
+    base = sum(np.sin(x / a + b) * np.cos(y / c + d) * 40 for a, b, c, d in rng.random((6, 4)) * [40, 6, 40, 6] + [5, 0, 5, 0])
+    s = np.stack([base + rng.normal(0, 4, (height, width)) + 128 + 10 * k for k in range(3)], 2).clip(0, 255).astype(np.uint8)
+    rows = s.reshape(height, -1)
+    return filters.apply(rows, 3, filters.choose(rows, 3, 0))
+
+
+@pytest.mark.parametrize("size", [(64, 64), (256, 256), (768, 512)])
+def test_pictures_are_less_than_the_library_makes_them(size):
+    data = photo(*size)
+    z = deflate.zlib_compress(data, deflate.Options(deflate.ULTRA, 2))
+    assert zlib.decompress(z) == data and len(z) < len(zlib.compress(data, 9))
+
+
+def test_nearest_matches_by_brute_force():
+    """Every match is real, and none of a key length is missed: for each of them the nearest occurrence is at hand."""
+    data = bytes(random.Random(4).choices(b"abc", k=700)) + b"xyz" * 200 + bytes(random.Random(5).choices(b"ab", k=500))
+    for start in (0, 900):
+        finder = deflate.Finder(data, deflate.Options(deflate.ULTRA), start)
+        for i in range(start, len(data)):
+            found = finder.at(i)
+            assert all(data[i : i + n] == data[i - d : i - d + n] and (n == 258 or i + n == len(data) or data[i + n] != data[i + n - d]) for n, d in found)
+            assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:]))
+            for key in (3, 7, 16, 64):
+                at = data.rfind(data[i : i + key], 0, i + key - 1) if i + key <= len(data) else -1
+                assert [d for n, d in found if n >= key][:1] == ([i - at] if at >= 0 else [])
+
+
+def test_regions(monkeypatch):
+    data = (b"abcdefghij" * 400 + random.Random(6).randbytes(3000)) * 3
+    whole = deflate.zlib_compress(data, deflate.Options(deflate.BEST, 2))
+    monkeypatch.setattr(deflate, "REGION", 4096)
+    cut = deflate.zlib_compress(data, deflate.Options(deflate.BEST, 2))
+    assert zlib.decompress(cut) == data and len(cut) < len(whole) + 1500
+
+
+def test_optimal_is_optimal():
+    """Against the plain recursion over all matches, also where many segments are searched in lock-step."""
+    data = bytes(random.Random(7).choices(b"abcd", k=1500))
+    finder = deflate.Finder(data, deflate.Options())
+    literal, distance = deflate.prices(deflate.greedy(finder), 0)
+    cost = [0] * (len(data) + 1)
+    for i in range(len(data) - 1, -1, -1):
+        cost[i] = literal[data[i]] + cost[i + 1]
+        for n, d in finder.at(i):
+            c = deflate.distance_code(d)
+            for k in range(3, n + 1):
+                e = deflate.LENGTH_CODE[k]
+                cost[i] = min(cost[i], literal[257 + e] + 1024 * (inflate.LENGTH_EXTRA[e] + inflate.DISTANCE_EXTRA[c]) + distance[c] + cost[i + k])
+    price = lambda ts: sum((literal[257 + deflate.LENGTH_CODE[n]] + 1024 * inflate.LENGTH_EXTRA[deflate.LENGTH_CODE[n]] + distance[deflate.distance_code(d)] + 1024 * inflate.DISTANCE_EXTRA[deflate.distance_code(d)]) if d else literal[n] for n, d in ts)
+    assert cost[0] <= price(deflate.optimal(finder, literal, distance)) <= cost[0] * 1.0005
+
+
 def test_optimal_is_no_dearer_than_greedy():
     data = bytes(random.Random(3).choices(b"abcd", k=3000))
     finder = deflate.Finder(data, deflate.Options())
