@@ -57,14 +57,31 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _folder(a: argparse.Namespace) -> int:
+    """All files of a folder and its subfolders; files that can't be read are named, the others are done."""
+    from pyspark.errors import PySparkException
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from pixelweave.plans import optimise
+    from pixelweave.sources.staging import staged
 
-    spark = SparkSession.builder.master(f"local[{a.threads or '*'}]").appName("pixelweave").getOrCreate()
-    found = optimise.optimise(png.files(spark, a.input), a.level, a.strip)
-    sink.write_files(found, a.output)
-    return 0
+    spark = SparkSession.getActiveSession() or SparkSession.builder.master(f"local[{a.threads or '*'}]").appName("pixelweave").getOrCreate()
+    found = staged(optimise.optimise(png.files(spark, a.input), a.level, a.strip, multi=not a.single), "results")
+    try:
+        sink.write_files(found, a.output, root=a.input)
+    except (OSError, ValueError, PySparkException) as e:
+        print(f"{a.output}: {e}", file=sys.stderr)
+        return 3
+    if a.verbose:
+        for r in found.select("path", "status", "strategy", "original_bytes", "encoded_bytes").orderBy("path").toLocalIterator():
+            print(f"{r['path']}: {r['status']}, {r['original_bytes']} to {r['encoded_bytes']} bytes, {r['strategy']}")
+    for r in optimise.totals(found).orderBy("status").collect():
+        print(f"{r['status']}: {r['files']} files, {r['before']} to {r['after']} bytes")
+    failed = 0
+    for r in found.where(F.col("status") == "failed").select("path", "error").toLocalIterator():
+        failed += 1
+        print(f"{r['path']}: {r['error']}", file=sys.stderr)
+    return 2 if failed else 0
 
 
 if __name__ == "__main__":

@@ -14,7 +14,8 @@ from pixelweave.operators.deflate import BEST, DEFAULT, FAST, ULTRA
 from pixelweave.sources import png
 
 LARGE, HUGE = 1 << 18, 1 << 20  # pixel bytes
-#: Signature, IHDR, the frame of an IDAT chunk, IEND.
+#: Pixel bytes up to which a huge image gets five and three passes; what a file has besides its stream and a variant's own chunks.
+FIVE, THREE = 2621440, 10485760
 FRAME_BYTES = 57
 
 
@@ -59,9 +60,9 @@ def pruned(rows: Iterable[Strategy], pixel_bytes: int, animated: bool, entropy_r
 
 
 def variant(image: Image, alpha: bool, reduce: bool, sort: bool) -> Image:
+    image = recolour.optimise_alpha(image) if alpha else image
     if image.animated:
         return image
-    image = recolour.optimise_alpha(image) if alpha else image
     image = recolour.reduce_colours(image) if reduce else image
     return recolour.sort_palette(image) if sort else image
 
@@ -86,17 +87,28 @@ def proxy_size(image: Image, choice: np.ndarray, level: int) -> int:
 
 def passes_for(pixel_bytes: int, passes: int) -> int:
     """Fewer passes for larger images."""
-    if pixel_bytes >= 4 * HUGE:
-        return min(passes, 2)
-    if pixel_bytes >= 2 * HUGE:
-        return min(passes, 3)
-    return min(passes, 5 if pixel_bytes >= HUGE else 4 if pixel_bytes >= LARGE else passes)
+    if pixel_bytes >= HUGE:
+        return min(passes, 5 if pixel_bytes <= FIVE else 3 if pixel_bytes <= THREE else 2)
+    return min(passes, 4) if pixel_bytes >= LARGE else passes
+
+
+def level_for(pixel_bytes: int, level: int, deflate_level: int) -> int:
+    """At the higher levels huge images are encoded as well as others."""
+    return max(deflate_level, BEST) if pixel_bytes >= HUGE and level >= 7 else deflate_level
 
 
 def encode(image: Image, choice: np.ndarray | None, level: int, passes: int) -> bytes:
     return writer.write(image, writer.WriteOptions(choice, deflate.Options(level, passes)))
 
 
+def finalist(image: Image, choice: np.ndarray, level: int, passes: int, proxy: int | None = None) -> bytes:
+    """A full encoding; where one pass (proxy: its size without FRAME_BYTES) was less, that one if it stays less as a file."""
+    made = encode(image, choice, level, passes)
+    if proxy is not None and (level != BEST or passes > 1) and proxy + FRAME_BYTES < len(made):
+        made = min(made, encode(image, choice, BEST, 1), key=len)
+    return made
+
+
 def finalists(pixel_bytes: int) -> int:
     return 2 if pixel_bytes >= HUGE else 3 if pixel_bytes >= LARGE else 4
 
@@ -188,7 +200,7 @@ def multi(image: Image, options: CompressOptions) -> Result:
     made = []
     for rank, k in enumerate(top):
         n, choice, s, name = listed[k]
-        made.append((encode(images[n], choice, s.deflate_level, passes_for(size, s.passes)), rank, name))
+        made.append((finalist(images[n], choice, level_for(size, options.level, s.deflate_level), passes_for(size, s.passes), sizes[k]), rank, name))
     for data, _, name in sorted(made, key=lambda m: (len(m[0]), m[1])):
         if not verify(data, image):
             return Result(data, name, size)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 
 from pixelweave import model
@@ -114,9 +116,20 @@ def colour_key(image: Image) -> Image:
     return changed
 
 
+def _animated_alpha(image: Image) -> Image:
+    """Animations: invisible pixels of the image and of every frame to black, and no alpha channel where all of them are opaque."""
+    alone = [image.changed(animated=False, frames=[], width=f.width, height=f.height, pixels=f.pixels) for f in image.frames if not f.from_idat]
+    parts = [zero_transparent(p) for p in (image.changed(animated=False, frames=[]), *alone)]
+    if all(strip_opaque(p).color_type != p.color_type for p in parts):
+        parts = [strip_opaque(p) for p in parts]
+    rest = iter(parts[1:])
+    frames = [f if f.from_idat else dataclasses.replace(f, pixels=next(rest).pixels) for f in image.frames]
+    return parts[0].changed(animated=True, frames=frames)
+
+
 def optimise_alpha(image: Image) -> Image:
     if image.animated:
-        return image
+        return _animated_alpha(image)
     image = strip_opaque(zero_transparent(image))
     return colour_key(image) if model.has_alpha(image.color_type) else image
 

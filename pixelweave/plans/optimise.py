@@ -1,6 +1,7 @@
 """The encoding search as staged DataFrames: images, variants, filter jobs, candidates, one-pass sizes, finalists, verified files.
 
-The unit of work grows from the candidates of one image to those of all images: each stage deals its rows out by
+An image is known by a hash of its file, not by the caller's key, so rows with equal keys keep their own pictures and copies are searched
+once. The unit of work grows from the candidates of one image to those of all images: each stage deals its rows out by
 (image_id, ordinal), and only arrays that a stage needs travel. Decoded images, variants, sizes and encodings are
 staged, so no costly step runs twice. No stage collects; ranks are windows over the few candidates of an image.
 """
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pixelweave import model
 from pixelweave.operators import compress, filters, recolour
 from pixelweave.sources import png
-from pixelweave.sources.staging import staged
+from pixelweave.sources.staging import dropped, staged
 
 STRATEGY = "ordinal int, filter_level int, deflate_level int, passes int, alpha boolean, reduce boolean, sort boolean"
 
@@ -35,17 +36,21 @@ def _udf(fn, ddl: str, *columns: Column) -> Column:
     return F.arrow_udf(lambda *a: pa.array([None if any(not x.is_valid for x in row) else fn(*row) for row in zip(*a, strict=True)], kind), ddl)(*columns)
 
 
-def optimise(files: DataFrame, level: int = 9, strip: bool = False, key: str = "path") -> DataFrame:
-    """files (key, content): a row for each with status, error, sizes, strategy and the content to keep.
+def optimise(files: DataFrame, level: int = 9, strip: bool = False, key: str = "path", multi: bool = True) -> DataFrame:
+    """files (key, content): a row for each row with status, error, sizes, strategy and the content to keep.
 
     status is "wrote" if a smaller file verified, "kept" if none is, "failed" if the file can't be decoded. Empty and
-    null contents fail.
+    null contents fail. Keys need not be unique and may be null; other columns are left out. Without ``multi`` (and at level 0) each image
+    gets one strategy.
     """
     spark = files.sparkSession
     n = spark.conf.get("spark.sql.shuffle.partitions")
     deal = lambda df, *by: df.repartition(int(n), *by)
-    source = files.select(F.col(key).alias("image_id"), F.col("content").alias("original")).withColumn("image", png.decoded(F.col("original")))
-    source = staged(source, "decoded")
+    rows = staged(files.select(F.col(key).alias("key"), F.col("content").alias("original"), F.sha2("content", 256).alias("image_id")), "files")
+    source = deal(rows.where("image_id is not null").select("image_id", "original"), "image_id").dropDuplicates(["image_id"])
+    source = staged(source.withColumn("image", png.decoded(F.col("original"))), "decoded")
+    if not multi or level <= 0:
+        return _kept(rows, source.select("image_id", "image.error", _one(level, strip).alias("best")), key)
     good = source.where(F.col("image.error").isNull())
     prepared = _udf(lambda v: model.to_row(recolour.strip_metadata(_image(v)) if strip else _image(v)), model.IMAGE_SCHEMA, F.col("image"))
     entropy = _udf(lambda v: recolour.content(_image(v))["entropy_r"], "double", F.col("image"))
@@ -97,12 +102,15 @@ def optimise(files: DataFrame, level: int = 9, strip: bool = False, key: str = "
     top = finalists(costed.join(good.select("image_id", "bytes"), "image_id"))
 
     # full encodings, verified against the image as it was read
-    def full(image: pa.Scalar, choice: pa.Scalar, deflate_level: pa.Scalar, passes: pa.Scalar, size: pa.Scalar) -> bytes:
-        return compress.encode(_image(image), np.frombuffer(choice.as_py(), np.uint8).astype(np.int64), deflate_level.as_py(), compress.passes_for(size.as_py(), passes.as_py()))
+    def full(image: pa.Scalar, choice: pa.Scalar, deflate_level: pa.Scalar, passes: pa.Scalar, size: pa.Scalar, proxy: pa.Scalar) -> bytes:
+        choice, size = np.frombuffer(choice.as_py(), np.uint8).astype(np.int64), size.as_py()
+        return compress.finalist(_image(image), choice, compress.level_for(size, level, deflate_level.as_py()), compress.passes_for(size, passes.as_py()), proxy.as_py())
 
     last = deal(top.join(variants, ["image_id", "variant_id"]), "image_id", "ordinal")
-    last = last.select("image_id", "rank", "strategy", _udf(full, "binary", F.col("variant"), F.col("choice"), F.col("deflate_level"), F.col("passes"), F.col("bytes")).alias("png"))
+    last = last.select("image_id", "rank", "strategy", _udf(full, "binary", F.col("variant"), F.col("choice"), F.col("deflate_level"), F.col("passes"), F.col("bytes"), F.col("proxy")).alias("png"))
     last = staged(last, "finalists")
+    dropped(costed)
+    dropped(built)
     last = last.join(good.select("image_id", "image"), "image_id")
     why = _udf(lambda data, image: compress.verify(data.as_py(), _image(image)) or "", "string", F.col("png"), F.col("image"))
     last = last.select("image_id", "rank", "strategy", "png", why.alias("why")).where("why = ''")
@@ -114,18 +122,41 @@ def optimise(files: DataFrame, level: int = 9, strip: bool = False, key: str = "
         except ValueError:
             return None
 
-    out = source.join(best, "image_id", "left")
+    out = source.select("image_id", "image").join(best, "image_id", "left")
     spare = F.when(F.col("image.error").isNull() & F.col("best").isNull(), F.col("image"))
-    out = out.withColumn("png", F.coalesce(F.col("best.png"), _udf(plain, "binary", spare)))
-    smaller = F.octet_length("png") < F.octet_length("original")
-    return out.select(
-        F.col("image_id").alias(key),
-        F.when(F.col("image.error").isNotNull(), "failed").when(smaller, "wrote").otherwise("kept").alias("status"),
-        F.col("image.error").alias("error"),
+    saved = F.when(F.col("image.error").isNull(), F.coalesce("best", F.struct(_udf(plain, "binary", spare).alias("png"), F.lit("safe").alias("strategy"))))
+    return _kept(rows, out.select("image_id", "image.error", saved.alias("best")), key)
+
+
+def _one(level: int, strip: bool) -> Column:
+    """A verified file of one strategy for each image, and the strategy's name."""
+    ddl = "struct<png:binary,strategy:string>"
+
+    def made(image: pa.Scalar) -> dict | None:
+        try:
+            found = compress.compress(_image(image), compress.CompressOptions(level, strip, multi=False))
+        except ValueError:
+            return None
+        return {"png": found.data, "strategy": found.strategy}
+
+    return _udf(made, ddl, F.when(F.col("image.error").isNull(), F.col("image")))
+
+
+def _kept(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """Every row with what was found for its file: image_id, error, best (png, strategy)."""
+    found = staged(found, "found")
+    both = rows.join(found, "image_id", "left")
+    failed = F.col("image_id").isNull() | F.col("error").isNotNull()
+    png_ = F.col("best.png")
+    smaller = ~failed & F.coalesce(F.octet_length(png_) < F.octet_length("original"), F.lit(False))
+    return both.select(
+        F.col("key").alias(key),
+        F.when(failed, "failed").when(smaller, "wrote").otherwise("kept").alias("status"),
+        F.when(F.col("image_id").isNull(), "empty file").otherwise(F.col("error")).alias("error"),
         F.octet_length("original").cast("bigint").alias("original_bytes"),
-        F.octet_length("png").cast("bigint").alias("encoded_bytes"),
-        F.coalesce("best.strategy", F.when(F.col("png").isNotNull(), "safe")).alias("strategy"),
-        F.when(smaller, F.col("png")).otherwise(F.col("original")).alias("content"),
+        F.octet_length(png_).cast("bigint").alias("encoded_bytes"),
+        F.when(png_.isNotNull(), F.col("best.strategy")).alias("strategy"),
+        F.when(smaller, png_).otherwise(F.col("original")).alias("content"),
     )
 
 

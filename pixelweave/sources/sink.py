@@ -36,15 +36,33 @@ def replace_file(path: str | os.PathLike, data: bytes) -> None:
         Path(name).unlink(missing_ok=True)
 
 
-def write_files(results: DataFrame, folder: str, key: str = "path") -> None:
-    """Each row's content to a file of the key's last name in a folder that all executors mount; rows that failed are left out."""
+def names(results: DataFrame, key: str = "path", root: str | None = None) -> DataFrame:
+    """Adds ``name``, where a row's file goes below the target folder: its path below ``root``, or its last part if there is no root."""
+    plain = F.regexp_replace(F.col(key), r"^file:/*", "/")
+    if root is None:
+        return results.withColumn("name", F.element_at(F.split(plain, "/"), -1))
+    base = Path(root).resolve().as_posix().rstrip("/") + "/"
+    return results.withColumn("name", F.when(plain.startswith(base), F.substring(plain, len(base) + 1, 2**31 - 1)).otherwise(F.regexp_replace(plain, "^/+", "")))
+
+
+def write_files(results: DataFrame, folder: str, key: str = "path", root: str | None = None) -> None:
+    """Each row's content to a file in a folder that all executors mount, named as ``names`` says; rows that failed are left out.
+
+    Raises ValueError before anything is written if two rows would have one name, or a name would leave the folder.
+    """
+    good = names(results.where(F.col("status") != "failed"), key, root)
+    wrong = good.groupBy("name").count().where((F.col("count") > 1) | F.col("name").isNull() | (F.col("name") == "") | F.array_contains(F.split("name", "/"), "..")).first()
+    if wrong is not None:
+        raise ValueError(f"{wrong['count']} rows for the file name {wrong['name']!r}")
     Path(folder).mkdir(parents=True, exist_ok=True)
 
     def put(rows) -> None:
         for r in rows:
-            replace_file(Path(folder, r["name"]), bytes(r["content"]))
+            target = Path(folder, r["name"])
+            target.parent.mkdir(parents=True, exist_ok=True)
+            replace_file(target, bytes(r["content"]))
 
-    results.where(F.col("status") != "failed").select(F.element_at(F.split(key, "/"), -1).alias("name"), "content").foreachPartition(put)
+    good.select("name", "content").foreachPartition(put)
 
 
 def write_table(results: DataFrame, path: str) -> None:

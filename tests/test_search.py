@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelweave import __main__ as cli
 from pixelweave import model
 from pixelweave.model import Image
-from pixelweave.operators import compress, filters, recolour, writer
+from pixelweave.operators import compress, deflate, filters, recolour, writer
 from pixelweave.plans import optimise
 from pixelweave.sources import png, sink, synthetic
 from pixelweave.streaming import files as streaming
@@ -131,6 +132,66 @@ def test_plan_over_files(spark):
     assert optimise.totals(optimise.optimise(files.limit(0), level=1)).count() == 0
 
 
+def test_equal_keys_keep_their_own_pictures(spark):
+    image = lambda h: Image(16, h, 8, model.GRAY, np.random.default_rng(h).integers(0, 3, 16 * h).astype(np.uint8).tobytes())
+    flat = lambda i: writer.write(i, writer.WriteOptions(np.zeros(i.height, np.int64)))
+    contents = [("k", flat(image(16))), ("k", flat(image(40))), ("k", flat(image(16))), (None, flat(image(9))), (None, None), ("k", b"no image")]
+    for multi in (True, False):
+        got = optimise.optimise(spark.createDataFrame(contents, "path string, content binary"), level=5, multi=multi).collect()
+        assert len(got) == 6
+        seen = sorted((r["path"] or "", png.read(bytes(r["content"])).pixels) for r in got if r["status"] != "failed")
+        assert seen == sorted((k or "", png.read(c).pixels) for k, c in contents[:4])
+        assert sorted(r["path"] or "" for r in got if r["status"] == "failed") == ["", "k"]
+        assert all(len(r["content"]) <= r["original_bytes"] for r in got if r["status"] != "failed")
+
+
+def test_alpha_of_animations():
+    image = rgba_hash(8, 8)
+    s = image.samples()
+    s[::2, :, 3] = 0
+    image = image.changed(pixels=model.pack(s, 8), animated=True)
+    f = s[:3, :4].copy()
+    image.frames = [model.Frame(8, 8, from_idat=True), model.Frame(4, 3, 2, 1, 1, 10, pixels=model.pack(f, 8))]
+    done = recolour.optimise_alpha(image)
+    assert done.pixels != image.pixels and recolour.equivalent(done, image) is None and done.color_type == model.RGBA
+    s[:, :, 3] = f[:, :, 3] = 255
+    image = image.changed(pixels=model.pack(s, 8))
+    image.frames[1] = model.Frame(4, 3, 2, 1, 1, 10, pixels=model.pack(f, 8))
+    done = recolour.optimise_alpha(image)
+    assert done.color_type == model.RGB and recolour.equivalent(png.read(writer.write(done)), image) is None
+    f[0, 0, 3] = 7
+    image.frames[1] = model.Frame(4, 3, 2, 1, 1, 10, pixels=model.pack(f, 8))
+    assert recolour.optimise_alpha(image).color_type == model.RGBA
+
+
+def test_one_pass_is_kept_where_it_is_less(monkeypatch):
+    image = graphic()
+    choice = np.zeros(24, np.int64)
+    whole = compress.finalist(image, choice, deflate.ULTRA, 3)
+    once = compress.encode(image, choice, deflate.BEST, 1)
+    monkeypatch.setattr(compress, "encode", lambda i, c, level, passes: once if passes == 1 else whole + bytes(500))
+    assert compress.finalist(image, choice, deflate.ULTRA, 3, len(once)) == once
+    assert compress.finalist(image, choice, deflate.ULTRA, 3, len(whole) + 500) == whole + bytes(500)
+    assert [compress.passes_for(n, 5) for n in (1, compress.LARGE, compress.HUGE, compress.FIVE, compress.FIVE + 1, compress.THREE, compress.THREE + 1)] == [5, 4, 5, 5, 3, 3, 2]
+    assert compress.level_for(compress.HUGE, 7, deflate.DEFAULT) == deflate.BEST and compress.level_for(compress.HUGE, 3, deflate.DEFAULT) == deflate.DEFAULT
+
+
+def test_folders(spark, tmp_path, capsys):
+    for n, name in enumerate(("a/x.png", "b/x.png", "x.png")):
+        path = tmp_path / "in" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(writer.write(synthetic.pattern("blocks", 16, 8 + n), writer.WriteOptions(np.zeros(8 + n, np.int64))))
+    assert cli.main(["-o", "2", "-v", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    assert "x.png: kept" in (said := capsys.readouterr().out) and "wrote: 1 files" in said
+    for n, name in enumerate(("a/x.png", "b/x.png", "x.png")):
+        assert png.read((tmp_path / "out" / name).read_bytes()).height == 8 + n
+    (tmp_path / "in" / "bad.png").write_bytes(b"no image")
+    assert cli.main(["-o", "2", "-s", str(tmp_path / "in"), str(tmp_path / "one")]) == 2
+    assert "bad.png" in capsys.readouterr().err and (tmp_path / "one" / "b" / "x.png").exists() and not (tmp_path / "one" / "bad.png").exists()
+    (tmp_path / "file").write_bytes(b"")
+    assert cli.main(["-o", "1", str(tmp_path / "in"), str(tmp_path / "file")]) == 3
+
+
 def test_command_line(tmp_path):
     source, target = tmp_path / "a.png", tmp_path / "b.png"
     source.write_bytes(writer.write(graphic(), writer.WriteOptions(np.zeros(24, np.int64))))
@@ -155,5 +216,12 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("x/a.png", "wrote", b"1"), ("x/b.png", "failed", None)], "path string, status string, content binary")
     sink.write_files(rows, str(tmp_path / "files"))
     assert [p.name for p in (tmp_path / "files").iterdir()] == ["a.png"]
+    same = spark.createDataFrame([("/r/x/a.png", "wrote", b"1"), ("/r/y/a.png", "kept", b"2")], "path string, status string, content binary")
+    with pytest.raises(ValueError, match="2 rows"):
+        sink.write_files(same, str(tmp_path / "clash"))
+    sink.write_files(same, str(tmp_path / "apart"), root="/r")
+    assert (tmp_path / "apart/x/a.png").read_bytes() == b"1" and (tmp_path / "apart/y/a.png").read_bytes() == b"2"
+    with pytest.raises(ValueError, match="file name"):
+        sink.write_files(same.limit(1).withColumn("path", F.lit("/r/../a.png")), str(tmp_path / "out"), root="/r")
     sink.write_table(rows, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 2
