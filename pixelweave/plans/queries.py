@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelweave import model
@@ -35,7 +35,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 # --- SQL of the derived relations ---------------------------------------------------------------------------------------
 
-GRAY_ROWS = """rows AS (SELECT label AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y,
+GRAY_ROWS = """rows AS (SELECT label::BIGINT * 4294967296 + vec_id // 320 AS image_id, row_number() OVER (PARTITION BY label, vec_id // 320 ORDER BY vec_id) - 1 AS y,
   list_transform(embedding, lambda e: CAST(greatest(least(floor((CAST(e AS DOUBLE) + 1) * 127.5), 255), 0) AS INTEGER)) AS line FROM embeddings)"""
 GRAY = f"{GRAY_ROWS}, px AS (SELECT image_id, y, unnest(range(64)) AS x, unnest(line) AS v FROM rows)"
 QUANT = f"{GRAY_ROWS}, px AS (SELECT image_id, y, unnest(range(64)) AS x, unnest(list_transform(line, lambda v: v // 17 * 17)) AS v FROM rows)"
@@ -182,6 +182,11 @@ def crc32_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc32"))
 
 
+def high_bytes(raw: Column) -> Column:
+    """How many bytes are 144 or more: what nine-bit literals of the fixed code are for."""
+    return F.length(F.regexp_replace(F.decode(raw, "ISO-8859-1"), "[\\u0000-\\u008f]+", ""))
+
+
 def _earlier(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions whose ``size`` bytes occurred before, and where they did so last."""
     if len(x) < size:
@@ -235,7 +240,8 @@ def block_split_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BYTES}, s AS (SELECT doc_id, sum(CASE WHEN v < 144 THEN 8 ELSE 9 END) AS b FROM bytes GROUP BY doc_id) SELECT doc_id, CAST(3 + coalesce(b, 0) + 7 AS BIGINT) AS bits FROM documents LEFT JOIN s USING (doc_id)")
 def fixed_block_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bits of a text as literals of one fixed block: its head, its bytes, the end."""
-    return _per_text(spark, sf_dir, "bigint", lambda x: 3 + 8 * len(x) + int((x >= 144).sum()) + 7).withColumnRenamed("made", "bits")
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", (3 + 8 * F.octet_length(raw) + high_bytes(raw) + 7).cast("bigint").alias("bits"))
 
 
 # --- codes -----------------------------------------------------------------------------------------------------------------
@@ -272,27 +278,40 @@ def fixed_code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(288).select(F.col("id").alias("symbol"), scalars.fixed_bits(F.col("id")).alias("bits"))
 
 
-@query(f"""WITH {BYTES}, f AS (SELECT v AS symbol, count(*) AS n FROM bytes GROUP BY v), t AS (SELECT sum(n) AS t FROM f)
-  SELECT CAST(count(*) AS INTEGER) AS symbols, true AS complete, true AS optimal FROM f, t""")
+@query("""WITH RECURSIVE bytes AS (SELECT lang, CAST('0x' || unnest(regexp_extract_all(hex(encode(coalesce(text, ''))), '..')) AS INTEGER) AS v FROM documents),
+  f AS (SELECT lang, v, count(*) AS n FROM bytes GROUP BY ALL), w AS (SELECT lang, list_sort(list(n)) AS coins FROM f GROUP BY lang),
+  tree AS (SELECT lang, coins AS left_, 0::HUGEINT AS bits FROM w UNION ALL
+    SELECT lang, list_sort(list_append(left_[3:], left_[1] + left_[2])), bits + left_[1] + left_[2] FROM tree WHERE len(left_) > 1),
+  whole AS (SELECT lang, max(bits) AS bits FROM tree GROUP BY lang),
+  merged AS (SELECT lang, coins, coins AS line, 1 AS k FROM w UNION ALL
+    SELECT lang, coins, list_sort(list_concat(coins, list_transform(range(len(line) // 2), lambda i: line[2 * i + 1] + line[2 * i + 2]))), k + 1 FROM merged WHERE k < 9)
+  SELECT w.lang, len(w.coins)::INTEGER AS symbols, CAST(whole.bits AS BIGINT) AS bits, CAST(list_sum(merged.line[1:2 * len(w.coins) - 2]) AS BIGINT) AS bits_of_nine
+  FROM w JOIN whole ON whole.lang IS NOT DISTINCT FROM w.lang JOIN merged ON merged.lang IS NOT DISTINCT FROM w.lang AND k = 9""")
 def huffman_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The byte histogram's code: a full tree within one bit of the entropy, and no longer than a limited one."""
+    """The bits that the bytes of a language's texts take in their optimal code, and in the best one of nine bits at most."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[str | None, np.ndarray] = {}
+        for batch in batches:
+            for lang, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n[lang] = n.get(lang, 0) + np.bincount(np.frombuffer(v.as_buffer(), np.uint8), minlength=256)
+        for lang, own in n.items():
+            some = np.flatnonzero(own)
+            yield pa.record_batch([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(own[some])], names=["lang", "value", "n"])
 
-    def one(values: pa.Array, counts: pa.Array) -> pa.Array:
+    def one(counts: pa.Array) -> pa.Array:
         out = []
-        for v, c in zip(values.to_pylist(), counts.to_pylist(), strict=True):
-            n = np.zeros(256, np.int64)
-            n[v] = c
-            bits, limited = np.array(huffman.code_lengths(n.tolist(), 30)), np.array(huffman.code_lengths(n.tolist(), 9))
-            p = n[n > 0] / n.sum()
-            mean = float((n * bits).sum() / n.sum())
-            best = -float((p * np.log2(p)).sum())
-            out.append({"symbols": int((bits > 0).sum()), "complete": bool((2.0 ** -bits[bits > 0]).sum() == 1 == (2.0 ** -limited[limited > 0]).sum()), "optimal": best <= mean < best + 1 and int((n * bits).sum()) <= int((n * limited).sum())})
+        for c in counts.to_pylist():
+            cost = lambda lengths: sum(a * b for a, b in zip(c, lengths, strict=True))  # noqa: B023, E731
+            out.append({"symbols": len(c), "bits": cost(huffman.code_lengths(c, 255)), "bits_of_nine": cost(huffman.code_lengths(c, 9))})
         return pa.array(out, kind)
 
-    ddl = "struct<symbols:int,complete:boolean,optimal:boolean>"
+    ddl = "struct<symbols:int,bits:bigint,bits_of_nine:bigint>"
     kind = png.arrow_struct(ddl)
-    whole = byte_histogram(spark, sf_dir).agg(F.collect_list("value").alias("v"), F.collect_list("n").alias("n"))  # 256 values at most
-    return whole.select(F.arrow_udf(one, ddl)("v", "n").alias("x")).select("x.*")
+    texts = table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    sums = texts.mapInArrow(counted, "lang string, value int, n bigint").groupBy("lang", "value").agg(F.sum("n").alias("n"))
+    whole = sums.groupBy("lang").agg(F.sort_array(F.collect_list("n")).alias("n"))  # 256 counts at most
+    return whole.select("lang", F.arrow_udf(one, ddl)("n").alias("x")).select("lang", "x.*")
 
 
 # --- tile statistics ---------------------------------------------------------------------------------------------------------
@@ -466,6 +485,18 @@ def candidate_rescue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return optimise.finalists(_candidates(spark, sf_dir)).select("image_id", "variant_id", "ordinal", "proxy", "rank")
 
 
+@query(f"""WITH {_candidates_sql()}, h AS (SELECT image_id, count(*) * 64 * CASE image_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 1000 ELSE 4000 END AS bytes FROM (WITH {GRAY_ROWS} SELECT image_id FROM rows) GROUP BY image_id),
+  c AS (SELECT rk.*, CASE WHEN bytes >= 1048576 THEN 2 WHEN bytes >= 262144 THEN 3 ELSE 4 END AS k FROM rk JOIN h USING (image_id)),
+  t AS (SELECT image_id, count(DISTINCT variant_id) AS n, any_value(variant_id) AS v FROM c WHERE rank <= k GROUP BY image_id),
+  o AS (SELECT c.image_id, min(rank) AS other FROM c JOIN t USING (image_id) WHERE variant_id <> v GROUP BY c.image_id)
+  SELECT image_id, variant_id, ordinal, proxy, CAST(rank AS INTEGER) AS rank FROM c JOIN t USING (image_id) LEFT JOIN o USING (image_id)
+  WHERE CASE WHEN n = 1 AND other IS NOT NULL THEN rank < k OR rank = other ELSE rank <= k END""")
+def finalist_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finalists of images of all size classes: tiles that count as they are, a thousand or four thousand times as large."""
+    times = F.when(F.col("image_id") % 3 == 0, 1).when(F.col("image_id") % 3 == 1, 1000).otherwise(4000)
+    return optimise.finalists(_candidates(spark, sf_dir).withColumn("bytes", F.col("bytes") * times)).select("image_id", "variant_id", "ordinal", "proxy", "rank")
+
+
 @query(f"WITH {GRAY_ROWS}, q AS (SELECT image_id, y, line, list_transform(line, lambda v: v // 17 * 17) AS quant FROM rows), m AS (SELECT image_id, bool_and(line = quant) AS same FROM q GROUP BY image_id) SELECT image_id, CAST(CASE WHEN same THEN 1 ELSE 2 END AS BIGINT) AS variants, 3::BIGINT AS built FROM m")
 def variant_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three variants of a tile (as it is, quantised, quantised twice), told apart by their bytes."""
@@ -533,39 +564,3 @@ def decode_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = F.transform(F.sequence(F.lit(1), F.octet_length("p")), lambda k: F.conv(F.hex(F.substring(F.col("p"), k, F.lit(1))), 16, 10).cast("int"))
     px = back.select("image_id", "width", F.posexplode(values).alias("k", "v"))
     return px.select("image_id", F.floor(F.col("k") / F.col("width")).alias("y"), (F.col("k") % F.col("width")).alias("x"), "v")
-
-
-@query(f"WITH {GRAY_ROWS} SELECT image_id, count(*) * 64 AS pixels, true AS lossless, true AS no_larger, 'ok' AS outcome FROM rows GROUP BY image_id")
-def optimise_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The encoding search over the tiles' files: what is kept decodes to the same picture and isn't larger."""
-    files = tile_files(spark, sf_dir)
-    found = optimise.optimise(files, level=5, key="image_id").withColumnRenamed("content", "kept")
-    both = files.join(found, "image_id").select("image_id", "status", "original_bytes", F.octet_length("kept").alias("n"), png.decoded(F.col("content")).alias("a"), png.decoded(F.col("kept")).alias("b"))
-    same = optimise._udf(lambda a, b: optimise.recolour.equivalent(optimise._image(a), optimise._image(b)) is None, "boolean", F.col("a"), F.col("b"))
-    return both.select("image_id", (F.col("a.width") * F.col("a.height")).alias("pixels"), same.alias("lossless"), (F.col("n") <= F.col("original_bytes")).alias("no_larger"), F.when(F.col("status").isin("wrote", "kept"), "ok").otherwise("failed").alias("outcome"))
-
-
-@query(f"WITH {GRAY_ROWS} SELECT image_id, y, 65 AS size, true AS exact, true AS by_library FROM rows")
-def deflate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each filtered scanline through the package's own encoder, its traced decoder and the library's."""
-
-    def one(rows: pa.Array) -> pa.Array:
-        out = []
-        for r in rows.to_pylist():
-            data = bytes([0, *r])
-            z = deflate.zlib_compress(data, deflate.Options(deflate.BEST, 2))
-            out.append({"size": len(data), "exact": inflate.trace(z[2:-4], len(data)).data == data, "by_library": zlib.decompress(z) == data})
-        return pa.array(out, kind)
-
-    ddl = "struct<size:int,exact:boolean,by_library:boolean>"
-    kind = png.arrow_struct(ddl)
-    return tiles.gray(spark, sf_dir).select("image_id", "y", F.arrow_udf(one, ddl)("row").alias("z")).select("image_id", "y", "z.*")
-
-
-@query()
-def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals of the search over the tiles: files, bytes before and after, by status (sizes depend on the encoder)."""
-    return optimise.totals(optimise.optimise(tile_files(spark, sf_dir), level=3, key="image_id"))
-
-
-

@@ -1,7 +1,8 @@
 """Relations derived from the supplied tables, as scanlines in arrays: a row stays a row until a result needs its pixels.
 
 Neighbours above come from one window over scanlines; residuals, sums and entropies are array expressions on a
-scanline, so no plan multiplies the data by its pixels before it aggregates.
+scanline, so no plan multiplies the data by its pixels before it aggregates. A tile takes the vectors of a label from a
+range of TALL ids: tiles grow in number with the data, never in size, and so do the windows over them.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pixelweave.functions import scalars
 
-WIDTH = 64
+WIDTH, TALL = 64, 320
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, y, row): 64 gray samples of each vector; vectors of a label make an image."""
+    """(image_id, y, row): 64 gray samples of each vector; vectors of a label and a range of ids make an image."""
     v = lambda e: F.greatest(F.least(F.floor((e.cast("double") + 1) * 127.5), F.lit(255)), F.lit(0)).cast("int")
-    y = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")).cast("bigint") - 1
-    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), y.alias("y"), F.transform("embedding", v).alias("row"))
+    tile = F.col("label").cast("bigint") * (1 << 32) + F.floor(F.col("vec_id") / TALL)
+    y = F.row_number().over(Window.partitionBy("image_id").orderBy("vec_id")).cast("bigint") - 1
+    rows = table(spark, sf_dir, "embeddings").select(tile.alias("image_id"), "vec_id", F.transform("embedding", v).alias("row"))
+    return rows.select("image_id", y.alias("y"), "row")
 
 
 def quantised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +79,16 @@ def cost_vectors(rows: DataFrame) -> DataFrame:
 
 
 def entropy(values: Column) -> Column:
-    """Shannon entropy of an array, in bits a value, to 6 places."""
+    """Shannon entropy of an array, in bits a value, to 6 places: one fold over the sorted values, which sums n log n of their runs."""
     n = F.size(values)
-    share = lambda v: F.size(F.filter(values, lambda w: w == v)) / n
-    return F.round(F.aggregate(F.array_sort(F.array_distinct(values)), F.lit(0.0), lambda a, v: a - share(v) * F.log2(share(v))), 6)
+    term = lambda run: F.when(run > 1, run * F.log2(run)).otherwise(0.0)
+    start = F.struct(F.lit(None).cast("int").alias("v"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(a: Column, v: Column) -> Column:
+        same = F.coalesce(a["v"] == v, F.lit(False))
+        return F.struct(v.cast("int").alias("v"), F.when(same, a["run"] + 1).otherwise(1).alias("run"), F.when(same, a["sum"]).otherwise(a["sum"] + term(a["run"])).alias("sum"))
+
+    return F.round(F.aggregate(F.array_sort(values), start, step, lambda a: F.log2(n) - (a["sum"] + term(a["run"])) / n), 6)
 
 
 def cheapest_path(costs: Column, penalty: int) -> Column:
