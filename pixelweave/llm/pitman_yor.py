@@ -8,8 +8,8 @@ contexts for some sweeps, then the root, whose counts follow. Predictive probabi
 Stirling numbers of dishes of over EXACT customers come from a contour integral; a pair seen once has one table in any seating and isn't drawn.
 
 How it is laid out: documents become blocks of tokens (a written table); each block sends its distinct pairs to
-buckets by context, as packed arrays, and gets back what each pair needs. A context with more than 1/(4 * buckets) of
-all tokens is spread over all buckets by its next words; there are at most 4 * buckets of them. Its tables
+buckets by context, as packed arrays, and gets back what each pair needs. A context with more tokens than a bucket has on
+average is spread over all buckets by its next words; there are fewer of them than buckets. Its tables
 are summed over all buckets before each sweep, so that it is seated as any other. Buckets grow in number with the tokens.
 Words and pairs go by 64-bit hashes.
 
@@ -573,7 +573,7 @@ def _score(parts: int, hot: np.ndarray, total: int, vocabulary: int, unknown: fl
 
 def frequent_share(parts: int) -> float:
     """The share of all tokens over which a context is spread."""
-    return 1 / (4 * parts)
+    return 1 / parts
 
 
 def _bucket(h: str, parts: int) -> Column:
@@ -597,7 +597,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     words = staged(blocks.mapInArrow(taught, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
     total, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
     parts = max(BUCKETS * partitions(spark), -(-total // FULL))
-    frequent = [r["h"] for r in words.where(F.col("n") > total * frequent_share(parts)).select("h").collect()]  # at most 4 * parts
+    frequent = [r["h"] for r in words.where(F.col("n") > total * frequent_share(parts)).select("h").collect()]  # fewer than parts
     hot = np.array(frequent, np.int64).view(np.uint64)
 
     met = staged(_delivered(blocks.mapInArrow(_send_pairs(parts, hot), MESSAGE), parts).mapInArrow(_meet, MESSAGE), "met", by="kind")
