@@ -2,11 +2,12 @@
 
 import collections
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pixelweave.llm import pii, simhash
+from pixelweave.llm import language, pii, quality, simhash
 from pixelweave.llm.common import read, staged
 from tests.conftest import SF
 from tests.llm.test_llm import empty, odd  # noqa: F401
@@ -30,6 +31,30 @@ def test_stages(steps):
     assert steps[-1][2].count() > 0
 
 
+def test_quality_keeps_what_scores_half(spark, steps):
+    """Each document scored alone, by the model that the stage trains."""
+    _, before, after = steps[0]
+    model = quality.train(before, read(spark, SF, "labels"), allowed=lambda key: quality.remainder(key, 3) != 1)
+    rows = [(r["doc_id"], quality.passages(r["text"] or "")) for r in before.collect()]
+    want = [k for k, bag in rows if model.score(bag, np.array([0]))[0] >= 0.5]
+    assert 0 < len(want) < len(rows) and sorted(want) == sorted(r["doc_id"] for r in after.select("doc_id").collect())
+
+
+def test_language_drops_what_fits_no_model(spark, steps):
+    """The likelihoods of each text alone decide what goes; a text that none of the evidence but its own words speaks for gets their language."""
+    _, before, after = steps[1]
+    model, kept, sure = language.trained(before), [], {}
+    for r in before.collect():
+        cells = language.trigrams(r["text"] or "")
+        ll = model[:, cells].sum(1, dtype=np.float64)
+        if len(cells) >= language.LEAST and ll.max() / len(cells) >= language.FLOOR:
+            kept.append(r["doc_id"])
+            if language.SCALE * (np.sort(ll)[-1] - np.sort(ll)[-2]) > 20:  # more than priors and declarations can say against it
+                sure[r["doc_id"]] = language.LANGUAGES[int(ll.argmax())]
+    got = {r["doc_id"]: r["lang"] for r in after.collect()}
+    assert sorted(got) == sorted(kept) and len(sure) > len(kept) / 2 and all(got[k] == x for k, x in sure.items())
+
+
 def test_near_duplicates_keep_the_first(steps):
     _, before, after = steps[2]
     rows = sorted((r["doc_id"], r["text"]) for r in before.collect())
