@@ -556,15 +556,16 @@ def test_grid_join_loses_nothing(spark, limit):
     assert len(set(zip(want, mine, strict=True))) == len(set(want)) == len(set(mine))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [components.HOT, 10, 1])
+def test_components(spark, hot):
     rng = random.Random(7)
     chain = [(k, k + 1) for k in range(60)]
     star = [(1000, 1000 + k) for k in range(1, 40)]
     loose = [(rng.randrange(2000, 2100), rng.randrange(2000, 2100)) for _ in range(40)]
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain + star + loose + chain, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(chain + star + loose + chain, "a bigint, b bigint"), hot).collect()}
     assert {got[k] for k in range(61)} == {0} and {got[1000 + k] for k in range(40)} == {1000}
     assert all(got[a] == got[b] <= min(a, b) for a, b in loose if a != b)
-    assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert components.components(spark.createDataFrame([], "a bigint, b bigint"), hot).count() == 0
 
 
 # --- 8 chat -----------------------------------------------------------------------------------------------------------------------------------
