@@ -1,10 +1,10 @@
-"""Near-duplicates by resemblance: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8 are linked.
+"""Links of alike texts for ``simhash.first_alike``: sets of five-word shingles with a Jaccard similarity of at least 0.8.
 
-Shingles are those of ``sketch``. Texts of equal sets are one node, so copies cost nothing. Candidates are pairs that share
-one of BANDS bands of ROWS minimum hashes; a pair of resemblance r meets in none with probability (1 - r^ROWS)^BANDS, which is
-5e-8 at 0.8. Every candidate is decided by its exact sets. Cells of up to SMALL texts give all their pairs, larger ones a star
-around the least; where a larger cell still has texts of several components, these are compared with each other too, in blocks
-of BLOCK whose pairs are separate tasks. Empty and null texts are one node without links.
+Shingles are those of ``sketch``. Texts of equal sets are one node, so copies cost nothing. Candidates are the pairs that the
+fingerprints' grid join proposes, and pairs that share one of BANDS bands of ROWS minimum hashes; a pair of resemblance r
+shares none with probability (1 - r^ROWS)^BANDS, which is 5e-8 at 0.8. Every candidate is decided by its exact sets. Cells of
+up to SMALL texts give all their pairs, larger ones a star around the least; where a larger cell still has texts of several
+components, these are compared with each other too, in blocks of BLOCK whose pairs are separate tasks. Empty and null texts are one node without links.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelweave.llm.common import SUB_BATCH, dropped, partitions, staged, text_or_empty
+from pixelweave.llm.common import SUB_BATCH, dropped, partitions, staged
 from pixelweave.llm.components import components
 from pixelweave.llm.sketch import _mixed, shingle_hashes, words
 
@@ -55,15 +55,9 @@ def bands(own: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marked(texts: pa.Array) -> pa.Array:
-    marks, cells = [], []
-    for t in texts.to_pylist():
-        own = shingles(t or "")
-        marks.append(xxhash.xxh64_intdigest(own.tobytes()))
-        cells.append(bands(own).view(np.int64))
-    offsets = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
-    values = np.concatenate([*cells, np.empty(0, np.int64)])
-    return pa.StructArray.from_arrays([pa.array(np.array(marks, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["mark", "cells"])
+def mark(own: np.ndarray) -> int:
+    """What a set of shingles is known by."""
+    return xxhash.xxh64_intdigest(own.tobytes())
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,12 +143,13 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told(held)
 
 
-def links(nodes: DataFrame, small: DataFrame) -> DataFrame:
-    """Links (a, b) that join all alike texts that meet. nodes: mark, text; small: mark, cells; a row for each mark."""
+def links(nodes: DataFrame, small: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Links (a, b) that join all alike texts that meet. nodes: mark, text; small: mark, cells; a row for each mark. proposed: further pairs (a, b) to decide."""
     spark, parts = nodes.sparkSession, partitions(nodes.sparkSession)
     laid = small.select(F.explode("cells").alias("cell"), "mark")
     met = staged(laid.repartition(parts, "cell").sortWithinPartitions("cell", "mark").mapInArrow(_met, "kind int, a bigint, b bigint"), "cells")
-    pairs = staged(met.where("kind = 0").select("a", "b").distinct(), "pairs")
+    every = met.where("kind = 0").select("a", "b").unionByName(proposed)
+    pairs = staged(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
     texts = staged(nodes.join(ids, "mark", "left_semi"), "texts")  # each text of a large cell is in a pair
     first, second = (texts.select(F.col("mark").alias(m), F.col("text").alias(t)) for m, t in (("a", "x"), ("b", "y")))
@@ -174,16 +169,3 @@ def links(nodes: DataFrame, small: DataFrame) -> DataFrame:
     dealt = dealt.select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "mark", "root").join(texts, "mark")
     across = dealt.select("cell", "i", "j", "mark", "root", "text").repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
     return near.unionByName(across.mapInArrow(_across, "a bigint, b bigint"))
-
-
-def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each near-duplicate group: that with the least key (nulls last), of equal ones the least by its columns."""
-    known = F.arrow_udf(_marked, "struct<mark:bigint,cells:array<bigint>>")(text_or_empty(text))
-    rows = docs.select(known.alias("known"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.struct(*docs.columns).alias("row")).alias("doc"))
-    rows = rows.select(F.col("known.mark").alias("mark"), F.struct("doc.none", "doc.key", "doc.row", "known.cells").alias("doc"))
-    nodes = staged(rows.groupBy("mark").agg(F.min("doc").alias("doc")), "nodes")
-    inner = text_or_empty(f"doc.row.{text}")
-    roots = components(links(nodes.select("mark", inner.alias("text")), nodes.select("mark", F.col("doc.cells").alias("cells"))))
-    placed = nodes.select("mark", F.col("doc.none").alias("none"), F.col("doc.key").alias("key")).join(roots, F.col("mark") == F.col("node"), "left")
-    first = placed.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min(F.struct("none", "key", "mark")).alias("first")).select(F.col("first.mark").alias("mark"))
-    return nodes.join(first, "mark", "left_semi").select("doc.row.*")

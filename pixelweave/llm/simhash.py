@@ -9,7 +9,7 @@ verified exactly. A cell gives a spanning forest of its links, never all its pai
 split into blocks whose pairs are separate tasks.
 
 Null and empty texts have fingerprint zero, linked like any other; texts of fewer than four words are one shingle.
-Equal fingerprints are one node, so copies cost nothing. Rows with a null doc_id get a component too, but name none.
+Equal fingerprints are one node, so copies cost nothing. ``first_alike`` uses the join for candidates of texts alike by their shingle sets. Rows with a null doc_id get a component too, but name none.
 Texts are read whole; repeated rows give repeated results; extra columns are ignored (``first_of_each`` keeps them); an empty table gives no rows.
 """
 
@@ -23,8 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelweave.llm import near
 from pixelweave.llm.common import map_arrow, partitions, read, staged, text_or_empty
 from pixelweave.llm.components import components
+from pixelweave.llm.sketch import shingle_hashes, words
 
 WORDS, BITS, SEED = 4, 4, 42
 #: Fingerprints of a cell that one task compares.
@@ -33,6 +35,14 @@ _LOW = np.uint64(0x5555555555555555)
 _ONE = np.uint64(1)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str, wide: int = WORDS) -> int:
     """The unsigned fingerprint of a whole text."""
     found = text.encode("utf-8", "surrogatepass").lower().split()
@@ -44,10 +54,7 @@ def fingerprint(text: str, wide: int = WORDS) -> int:
     last = min(wide, len(found)) - 1
     h = xxhash.xxh64_intdigest
     hashes = np.array([h(joined[s:e], SEED) for s, e in zip(starts[: len(starts) - last].tolist(), ends[last:].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", wide: int = WORDS) -> DataFrame:
@@ -243,6 +250,49 @@ def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", bits
     return nodes.join(first, "fp", "left_semi").select("doc.row.*")
 
 
+def _known(texts: pa.Array) -> pa.Array:
+    """The mark, fingerprint and band cells of each text, all from its five-word shingle hashes."""
+    marks, fps, cells = [], [], []
+    for t in texts.to_pylist():
+        every = shingle_hashes(words(t or ""))
+        own = np.unique(every)
+        marks.append(near.mark(own))
+        fps.append(majority(every))
+        cells.append(near.bands(own).view(np.int64))
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
+    values = np.concatenate([*cells, np.empty(0, np.int64)])
+    columns = [pa.array(np.array(marks, np.uint64).view(np.int64)), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+    return pa.StructArray.from_arrays(columns, ["mark", "fp", "cells"])
+
+
+def candidates(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """Pairs (a, b) of marks that the grid range-join proposes. nodes: mark, fp. Of the marks of one fingerprint the least stands for it."""
+    told = staged(nodes.groupBy("fp").agg(F.min("mark").alias("least")), "told")
+    found = links(told, bits)
+    for side in ("a", "b"):
+        found = found.join(told.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_mark")), side)
+    same = nodes.join(told, "fp").where("mark <> least").select(F.col("least").alias("a"), F.col("mark").alias("b"))
+    return found.select(F.col("a_mark").alias("a"), F.col("b_mark").alias("b")).unionByName(same)
+
+
+def first_alike(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """One row of each group of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
+
+    The kept row is that with the least key (nulls last), of equal ones the least by its columns. The fingerprints of five-word
+    shingles go through the grid range-join, whose links are candidates. Most pairs at a similarity of 0.8 differ in more than
+    ``bits`` bits, so the candidates are completed by bands of minimum hashes (``near``); every one is decided by its exact sets.
+    Empty and null texts are one group.
+    """
+    rows = docs.select(F.arrow_udf(_known, "struct<mark:bigint,fp:bigint,cells:array<bigint>>")(text_or_empty(text)).alias("known"), F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.struct(*docs.columns).alias("row")).alias("doc"))
+    rows = rows.select(F.col("known.mark").alias("mark"), F.struct("doc.none", "doc.key", "doc.row", "known.fp", "known.cells").alias("doc"))
+    nodes = staged(rows.groupBy("mark").agg(F.min("doc").alias("doc")), "nodes")
+    proposed = candidates(nodes.select("mark", F.col("doc.fp").alias("fp")), bits)
+    found = near.links(nodes.select("mark", text_or_empty(f"doc.row.{text}").alias("text")), nodes.select("mark", F.col("doc.cells").alias("cells")), proposed)
+    placed = nodes.select("mark", F.col("doc.none").alias("none"), F.col("doc.key").alias("key")).join(components(found), F.col("mark") == F.col("node"), "left")
+    first = placed.groupBy(F.coalesce("root", "mark").alias("root")).agg(F.min(F.struct("none", "key", "mark")).alias("first")).select(F.col("first.mark").alias("mark"))
+    return nodes.join(first, "mark", "left_semi").select("doc.row.*")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

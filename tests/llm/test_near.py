@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from pixelweave.llm import language, near
+from pixelweave.llm import components, language, near, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -55,6 +56,27 @@ def test_stage_keeps_one_of_each_group(spark, monkeypatch, copies, block):
     assert len(got) == len(set(got)) and set(got) == kept_by_brute_force(rows)
 
 
+def test_grid_proposes_all_near_fingerprints(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    fps = base + [b ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for b in base for _ in range(3)] + base[:5]
+    nodes = [(k, fp - (1 << 64) if fp >> 63 else fp) for k, fp in enumerate(fps)]
+    pairs = simhash.candidates(spark.createDataFrame(nodes, "mark bigint, fp bigint"))
+    roots = {r["node"]: r["root"] for r in components.components(pairs).collect()}
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                assert roots[i] == roots[j]
+
+
+def test_fingerprint_is_the_majority_of_five_word_shingles():
+    text = "a b c d e f g a b c d e " * 3
+    known = simhash._known(pa.array([text, None, ""])).to_pylist()
+    hashes = near.shingle_hashes(near.words(text)).tolist()
+    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    assert known[0]["fp"] & (1 << 64) - 1 == want and [k["fp"] for k in known[1:]] == [0, 0] and known[1]["mark"] == known[2]["mark"]
+
+
 def test_declaration_after_long_attributes(spark):
     text = '<html prefix="' + "og: http://ogp.me/ns# " * 30 + '" class="a" lang="de"><p>x'
     df = spark.createDataFrame([(1, text, None, "a", 0), (2, "<html " + "x " * 300 + "<p lang='fr'>", None, "a", 0)], SCHEMA)
