@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelweave.llm import language, near, packing, pii, quality
+from pixelweave.llm import language, packing, pii, quality, simhash
 from pixelweave.llm.common import read, staged, text_or_empty
 
 
@@ -35,7 +35,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate group (five-word shingles, resemblance of 0.8 or more), that with the least doc_id."""
-    return near.first_of_each(docs)
+    return simhash.first_alike(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
