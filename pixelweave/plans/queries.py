@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pixelweave import model
 from pixelweave.functions import scalars
 from pixelweave.operators import deflate, huffman, inflate, writer
-from pixelweave.operators.inflate import DISTANCE_BASE, DISTANCE_EXTRA, LENGTH_BASE, LENGTH_EXTRA
 from pixelweave.plans import optimise, tiles
 from pixelweave.plans.tiles import table
 from pixelweave.sources import png
@@ -247,16 +246,15 @@ def fixed_block_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- codes -----------------------------------------------------------------------------------------------------------------
 
 
-def _case(v: str, base: tuple, values: list) -> str:
-    whens = " ".join(f"WHEN {v} < {base[k + 1]} THEN {values[k]}" for k in range(len(base) - 1))
-    return f"CASE {whens} ELSE {values[-1]} END"
-
-
-@query(f"""SELECT CAST(n AS BIGINT) AS n, {_case("n", LENGTH_BASE, [257 + k for k in range(29)])} AS length_code, {_case("n", LENGTH_BASE, list(LENGTH_EXTRA))} AS length_extra,
-  CAST(n * 127 AS BIGINT) AS d, {_case("n * 127", DISTANCE_BASE, list(range(30)))} AS distance_code, {_case("n * 127", DISTANCE_BASE, list(DISTANCE_EXTRA))} AS distance_extra FROM (SELECT unnest(range(3, 259)) AS n)""")
+@query("""WITH a AS (SELECT d, 3 + (d - 1) % 256 AS n FROM (SELECT unnest(range(1, 32769)) AS d)),
+  b AS (SELECT n, d, CASE WHEN n = 258 OR n < 7 THEN 0 ELSE length(bin(n - 3)) - 3 END AS le, CASE WHEN d < 3 THEN 0 ELSE length(bin(d - 1)) - 2 END AS de FROM a)
+  SELECT n, CAST(CASE WHEN n = 258 THEN 285 ELSE 257 + 4 * le + ((n - 3) >> le) END AS INTEGER) AS length_code, CAST(le AS INTEGER) AS length_extra,
+  d, CAST(2 * de + ((d - 1) >> de) AS INTEGER) AS distance_code, CAST(de AS INTEGER) AS distance_extra FROM b""")
 def length_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, d = F.col("n"), F.col("n") * 127
-    return spark.range(3, 259).withColumnRenamed("id", "n").select("n", scalars.length_code(n).alias("length_code"), scalars.length_extra(n).alias("length_extra"), d.alias("d"), scalars.distance_code(d).alias("distance_code"), scalars.distance_extra(d).alias("distance_extra"))
+    """Codes and extra bits of every length and every distance of the format; the SQL has them in closed form."""
+    n, d = F.col("n"), F.col("d")
+    every = spark.range(1, 32769).select(F.col("id").alias("d"), (3 + (F.col("id") - 1) % 256).alias("n"))
+    return every.select("n", scalars.length_code(n).alias("length_code"), scalars.length_extra(n).alias("length_extra"), "d", scalars.distance_code(d).alias("distance_code"), scalars.distance_extra(d).alias("distance_extra"))
 
 
 @query(f"""WITH {BYTES}, f AS (SELECT v AS symbol, count(*) AS n FROM bytes GROUP BY v),
