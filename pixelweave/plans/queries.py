@@ -318,11 +318,11 @@ def huffman_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {rgba_sql()}, d AS (SELECT image_id, y, sqrt(power(r - lag(r) OVER w, 2) + power(g - lag(g) OVER w, 2) + power(b - lag(b) OVER w, 2)) AS d FROM px WINDOW w AS (PARTITION BY image_id, x ORDER BY y))
   SELECT image_id, round(avg(d), 6) AS gradient FROM d GROUP BY image_id""")
 def tile_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean length of the vertical step, from one window over scanlines."""
-    rows = tiles.gray(spark, sf_dir).withColumn("up", F.lag("row").over(Window.partitionBy("image_id").orderBy("y"))).where("up is not null")
+    """The mean length of the vertical step, from one window over scanlines; null for a tile of one scanline, which has none."""
+    rows = tiles.gray(spark, sf_dir).withColumn("up", F.lag("row").over(Window.partitionBy("image_id").orderBy("y")))
     step = lambda k: F.sqrt(sum((F.pow(F.get("row", k * 4 + c) - F.get("up", k * 4 + c), F.lit(2)) for c in range(3)), F.lit(0.0)))
     sums = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0.0), lambda a, k: a + step(k))
-    return rows.groupBy("image_id").agg(F.round(F.sum(sums) / (F.count(F.lit(1)) * 16), 6).alias("gradient"))
+    return rows.groupBy("image_id").agg(F.round(F.avg(F.when(F.col("up").isNotNull(), sums)) / 16, 6).alias("gradient"))
 
 
 @query(f"WITH {rgba_sql()} SELECT image_id, count(DISTINCT (r, g, b, a)) AS colours FROM px GROUP BY image_id")
