@@ -1,11 +1,15 @@
 """Queries over tiles of one to three scanlines, as the last range of ids leaves them, against their SQL."""
 
+import zlib
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from pixelweave import model
+from pixelweave.operators import compress, deflate, writer
 from pixelweave.plans.registry import ORACLE_SQL, QUERIES
 from pixelweave.plans.tiles import TALL
 from tests.test_queries import rounded
@@ -33,3 +37,28 @@ def same_as_sql(spark, folder, name):
 
 def test_gradient_of_one_scanline_is_null(spark, small):
     assert sum(r[0] is None for r in same_as_sql(spark, small, "tile_gradient")) == 10
+
+
+@pytest.mark.parametrize("name", ["search_by_file"])
+def test_short_tiles_get_smaller(spark, small, name):
+    same_as_sql(spark, small, name)
+
+
+@pytest.mark.parametrize("height", [1, 2, 3])
+def test_search_of_short_noise(height):
+    """Values about the middle have under 144 under the average filter or none, so eight bits each: less than stored."""
+    rng = np.random.default_rng(height)
+    for _ in range(60):
+        x = np.clip(rng.normal(127, 16, (height, 64)), 0, 255).astype(np.uint8)
+        image = model.Image(64, height, 8, model.GRAY, x.tobytes())
+        stored = writer.write(image, writer.WriteOptions(np.zeros(height, np.int64), deflate.Options(deflate.STORE)))
+        made = compress.compress(image, compress.CompressOptions(3)).data
+        assert len(made) < len(stored)
+        assert compress.verify(made, image) is None
+
+
+def test_library_stores_where_the_fixed_code_is_less():
+    data = bytes(range(45)) + bytes(range(200, 220))  # 20 bytes of nine bits, no matches
+    made = writer.best_zlib(data, deflate.Options(deflate.BEST, 1))
+    assert len(made) < len(deflate.zlib_compress(data, deflate.Options(deflate.STORE))) <= len(zlib.compress(data, 9))
+    assert zlib.decompress(made) == data
