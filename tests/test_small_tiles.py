@@ -39,7 +39,7 @@ def test_gradient_of_one_scanline_is_null(spark, small):
     assert sum(r[0] is None for r in same_as_sql(spark, small, "tile_gradient")) == 10
 
 
-@pytest.mark.parametrize("name", ["search_by_file"])
+@pytest.mark.parametrize("name", ["search_by_file", "search_report"])
 def test_short_tiles_get_smaller(spark, small, name):
     same_as_sql(spark, small, name)
 
