@@ -194,13 +194,14 @@ def deflate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deflate_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts through the package's own encoder (all windows and block sizes), and back by its traced decoder and the library's."""
 
-    def one(x: np.ndarray) -> dict:
-        z = deflate.compress(x.tobytes(), deflate.Options(deflate.BEST, 2))
-        return {"bytes": len(x), "traced": inflate.trace(z, len(x)).data, "library": zlib.decompress(z, -15)}
+    def all_of(texts: pa.Array) -> pa.Array:
+        raw = texts.to_pylist()
+        streams = deflate.compress_all(raw, deflate.Options(deflate.BEST, 2))
+        return pa.array([{"bytes": len(x), "traced": inflate.trace(z, len(x)).data, "library": zlib.decompress(z, -15)} for x, z in zip(raw, streams, strict=True)], kind)
 
     ddl = "struct<bytes:bigint,traced:binary,library:binary>"
     kind = png.arrow_struct(ddl)
-    made = F.arrow_udf(lambda b: pa.array([one(np.frombuffer(v.as_py(), np.uint8)) for v in b], kind), ddl)
+    made = F.arrow_udf(all_of, ddl)
     texts = tiles.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     dealt = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("doc_id", "raw"))  # the work is worth more than the move
     return dealt.select("doc_id", made("raw").alias("made")).select("doc_id", "made.bytes", F.sha2("made.traced", 256).alias("traced_sha256"), F.sha2("made.library", 256).alias("library_sha256"))
