@@ -8,7 +8,9 @@ contexts for some sweeps, then the root, whose counts follow. Predictive probabi
 Stirling numbers of dishes of over EXACT customers come from a contour integral; a pair seen once has one table in any seating and isn't drawn.
 
 How it is laid out: documents become blocks of tokens (a written table); each block sends its distinct pairs to
-buckets by context, as packed arrays, and gets back what each pair needs. A context with more tokens than a bucket has on
+buckets by context, as packed arrays, and gets back what each pair needs. A bucket keeps its pairs seen more often as one row of packed arrays
+(a state: contexts, words, counts, tables); before each seating it sends the distinct words of these pairs with their tables to groups of
+word buckets, where the root is seated, and gets their probabilities back. So no step moves pairs as rows. A context with more tokens than a bucket has on
 average is spread over all buckets by its next words; there are fewer of them than buckets. Its tables
 are summed over all buckets before each sweep, so that it is seated as any other. Buckets grow in number with the tokens.
 Words and pairs go by 64-bit hashes.
@@ -43,6 +45,7 @@ NODES, POINTS = 40, 12  # of the integral and the interpolation for others
 BLOCK = 2_200_000  # tokens of a block, about
 BUCKETS = 2  # for each shuffle partition, at least
 FULL = 4_000_000  # tokens of a bucket, about: more tokens make more buckets
+GROUPS, SPREAD = 64, 16  # groups of word buckets, about: this many, or a bucket's 16th if that is more
 END = b" "  # no word has a space
 
 
@@ -280,16 +283,79 @@ def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Block]
             yield number, Block(keys, *rest)
 
 
-MESSAGE = "kind int, bucket bigint, block bigint, a binary, b binary, c binary, d binary"
-_MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+CELLS = "abcdefghi"
+MESSAGE = "kind int, bucket bigint, block bigint, " + ", ".join(f"{c} binary" for c in CELLS)
+_MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in CELLS)])
+REPLIES, COLD, HOT, CONTEXTS, ONCE = range(5)  # kinds of what a bucket finds: for blocks, states of its own and of spread contexts, contexts, words of pairs seen once
+WORDS, ROOT, TOTALS = 5, 6, 7  # tables of words, of the root's customers, and the root's sums
 
 
 def _messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_MESSAGE)], schema=_MESSAGE)
 
 
-def _msg(kind: int, bucket: int, block: int, *arrays: np.ndarray) -> tuple:
-    return (kind, bucket, block, *[np.ascontiguousarray(x).tobytes() for x in arrays], *[None] * (4 - len(arrays)))
+def _msg(kind: int, bucket: int, block: int, *arrays: np.ndarray | bytes) -> tuple:
+    return (kind, bucket, block, *[x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in arrays], *[None] * (len(CELLS) - len(arrays)))
+
+
+def _thin(x: np.ndarray) -> bytes:
+    """Numbers from 0 on in as few bytes each as the largest takes, after the type's letter."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return kind.char.encode() + x.astype(kind).tobytes()
+
+
+def _wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, chr(x[0]), offset=1).astype(np.int64)
+
+
+class State:
+    """A bucket's pairs seen more often, by context: the distinct words (by bucket, then hash), the contexts with the numbers of their pairs; of each
+    pair the place of its word and its count; of each context its pairs seen once; of each pair its tables, and their sum over the samples."""
+
+    def __init__(self, row: tuple) -> None:
+        self.kind, self.bucket = row[0], row[1]
+        self.words, self.contexts = np.frombuffer(row[3], np.uint64), np.frombuffer(row[4], np.uint64)
+        self.sizes, self.which, self.c, self.once, self.t, self.sums = map(_wide, row[5:11])
+        self.base = np.frombuffer(row[11] or b"", np.float64)  # of each word
+
+    @classmethod
+    def row(cls, kind: int, bucket: int, u: np.ndarray, w: np.ndarray, c: np.ndarray, once: np.ndarray, parts: int) -> tuple:
+        """Of pairs sorted by context, each with one table."""
+        words, which = np.unique(w, return_inverse=True)
+        order = np.argsort(words % np.uint64(parts), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        begins = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+        numbers = (np.diff(np.append(begins, len(u))), rank[which], c, once[begins], np.ones(len(u), np.int64), np.zeros(len(u), np.int64))
+        return _msg(kind, bucket, -1, words[order], u[begins], *map(_thin, numbers))
+
+    def again(self, t: np.ndarray, sums: np.ndarray, base: np.ndarray) -> tuple:
+        return _msg(self.kind, self.bucket, -1, self.words, self.contexts, *map(_thin, (self.sizes, self.which, self.c, self.once, t, sums)), base)
+
+    @property
+    def begins(self) -> np.ndarray:
+        return np.cumsum(self.sizes) - self.sizes
+
+    def luck(self) -> np.ndarray:
+        """The hash of each pair, from which its draws are made."""
+        return mixed(np.repeat(self.contexts, self.sizes)) + self.words[self.which]
+
+
+def _by_group(h: np.ndarray, parts: int, width: int) -> list[tuple[int, int, int]]:
+    """(group, first, last) of hashes sorted by bucket; a group has width buckets."""
+    group = ((h % np.uint64(parts)) // np.uint64(width)).astype(np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(h) else np.empty(0, np.int64)
+    return [(int(group[s]), int(s), int(e)) for s, e in zip(edges, np.append(edges, len(h))[1:], strict=True)]
+
+
+def _batched(rows: list[tuple], many: int = 64) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), many):
+        yield _messages(rows[at : at + many])
+
+
+def _each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
 def _send_pairs(parts: int, hot: np.ndarray) -> Callable:
@@ -301,9 +367,8 @@ def _send_pairs(parts: int, hot: np.ndarray) -> Callable:
                 u = block.u[s:e]
                 first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
                 sizes = np.diff(np.append(first, len(u))).astype(np.int32)
-                rows.append(_msg(0, bucket, number, block.words[u[first]], sizes, block.words[block.w[s:e]], block.seen[s:e]))
-            for at in range(0, len(rows), 64):
-                yield _messages(rows[at : at + 64])
+                rows.append(_msg(0, bucket, number, block.words[u[first]], sizes, block.words[block.w[s:e]], _thin(block.seen[s:e])))
+            yield from _batched(rows)
 
     return run
 
@@ -311,13 +376,12 @@ def _send_pairs(parts: int, hot: np.ndarray) -> Callable:
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """The messages of each bucket, rows sorted by bucket."""
     now, held = None, []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[1] != now:
-                if held:
-                    yield now, held
-                now, held = row[1], []
-            held.append(row)
+    for row in _each_row(batches):
+        if row[1] != now:
+            if held:
+                yield now, held
+            now, held = row[1], []
+        held.append(row)
     if held:
         yield now, held
 
@@ -326,15 +390,16 @@ def _delivered(messages: DataFrame, parts: int) -> DataFrame:
     return messages.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "block", "kind")
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all pairs of a bucket. Kind 0: to a block, a code for each of its pairs (0 unseen, 1 once, 2 more often) and places among the pairs
-    seen more often; 1: those pairs (context, word, count, tables of the context's pairs seen once); 2: contexts with their pairs seen once and more often;
-    3: words with their pairs seen once."""
-    for bucket, rows in _gathered(batches):
+def _meet(parts: int, width: int, hot: np.ndarray) -> Callable:
+    """Counts of all pairs of a bucket. To each block a code for each of its pairs (0 unseen, 1 once, 2 more often) and places among the pairs
+    seen more often; the states of these pairs, those of spread contexts after the others; contexts with their pairs seen once; to groups,
+    words with their pairs seen once."""
+
+    def met(bucket: int, rows: list[tuple]) -> list[tuple]:
         u = np.concatenate([np.repeat(np.frombuffer(r[3], np.uint64), np.frombuffer(r[4], np.int32)) for r in rows])
         w = np.concatenate([np.frombuffer(r[5], np.uint64) for r in rows])
-        n = np.concatenate([np.frombuffer(r[6], np.int32) for r in rows])
-        sizes = [len(r[6]) // 4 for r in rows]
+        n = np.concatenate([_wide(r[6]) for r in rows])
+        sizes = [len(r[5]) // 8 for r in rows]
         key = mixed(u) + w
         order = np.argsort(key, kind="stable")
         begins = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
@@ -343,163 +408,223 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = order[begins]
         c = np.bincount(group, weights=n, minlength=len(first)).astype(np.int64)
         del key, order, begins
-        more = c >= 2
-        number = np.cumsum(more) - 1
-        code = np.minimum(c, 2).astype(np.uint8)[group]
         gu, gw = u[first], w[first]
         contexts, of = np.unique(gu[c > 0], return_inverse=True)
-        once, often = np.bincount(of, weights=c[c > 0] == 1, minlength=len(contexts)), np.bincount(of, weights=c[c > 0] > 1, minlength=len(contexts))
-        words, times = np.unique(gw[c == 1], return_counts=True)
+        once = np.bincount(of, weights=c[c > 0] == 1, minlength=len(contexts)).astype(np.int64)
+        more = np.flatnonzero(c >= 2)
+        more = more[np.argsort(gu[more], kind="stable")]
+        spread = np.isin(gu[more], hot)
+        more, cold = np.concatenate([more[~spread], more[spread]]), int((~spread).sum())
+        number = np.zeros(len(c), np.int32)
+        number[more] = np.arange(len(more))
+        code = np.minimum(c, 2).astype(np.uint8)[group]
         out, at = [], 0
         for r, size in zip(rows, sizes, strict=True):
             own = code[at : at + size]
-            out.append(_msg(0, bucket, r[2], own, number[group[at : at + size][own == 2]].astype(np.int32)))
+            out.append(_msg(REPLIES, bucket, r[2], own, number[group[at : at + size][own == 2]]))
             at += size
-        tables = once[np.searchsorted(contexts, gu[more])].astype(np.int64) if len(contexts) else np.empty(0, np.int64)
-        out.append(_msg(1, bucket, -1, gu[more], gw[more], c[more], tables))
-        out.append(_msg(2, bucket, -1, contexts, once.astype(np.int64), often.astype(np.int64)))
-        out.append(_msg(3, bucket, -1, words, times.astype(np.int64)))
-        for k in range(0, len(out), 64):
-            yield _messages(out[k : k + 64])
+        for kind, own in ((COLD, more[:cold]), (HOT, more[cold:])):
+            if len(own):
+                out.append(State.row(kind, bucket, gu[own], gw[own], c[own], once[np.searchsorted(contexts, gu[own])], parts))
+        out.append(_msg(CONTEXTS, bucket, -1, contexts, _thin(once)))
+        words, times = np.unique(gw[c == 1], return_counts=True)
+        order = np.argsort(words % np.uint64(parts), kind="stable")
+        words, times = words[order], times[order]
+        return out + [_msg(ONCE, g, bucket, words[s:e], _thin(times[s:e])) for g, s, e in _by_group(words, parts, width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _gathered(batches):
+            yield from _batched(met(bucket, rows))
+
+    return run
+
+
+def _summed(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a group's messages, their sums, and the place of each word sent."""
+    words, of = np.unique(np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows]), return_inverse=True)
+    return words, np.bincount(of, weights=np.concatenate([_wide(r[4]) for r in rows]), minlength=len(words)).astype(np.int64), of
 
 
-def _rows_of(met: DataFrame, kind: int, names: dict[str, type]) -> DataFrame:
-    """The arrays of a kind as rows: bucket, place, then a column for each array."""
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One message of words seen in pairs that occur once for each group."""
+    for group, rows in _gathered(batches):
+        words, n, _ = _summed(rows)
+        yield _messages([_msg(ONCE, group, -1, words, _thin(n))])
+
+
+def _customers(parts: int, width: int) -> Callable:
+    """Of each state its words and their tables, to the groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                arrays = [np.frombuffer(x, np.int64) for x in row[1:]]
-                n = len(arrays[0])
-                for at in range(0, n, 50_000):
-                    some = [x[at : at + 50_000] for x in arrays]
-                    yield pa.record_batch([pa.array(np.full(len(some[0]), row[0])), pa.array(np.arange(at, at + len(some[0]))), *map(pa.array, some)], names=["bucket", "place", *names])
+        for state in map(State, _each_row(batches)):
+            k = np.bincount(state.which, weights=state.t, minlength=len(state.words)).astype(np.int64)
+            yield from _batched([_msg(state.kind, g, state.bucket, state.words[s:e], _thin(k[s:e])) for g, s, e in _by_group(state.words, parts, width)])
 
-    columns = ["a", "b", "c", "d"][: len(names)]
-    return met.where(F.col("kind") == kind).select("bucket", *columns).mapInArrow(run, "bucket bigint, place bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return run
 
 
-def _restaurants(epoch: int, last: bool) -> Callable:
-    """Sweeps over the contexts of each bucket, spread ones left out. In: bucket, place, u, w, c, tables, t, base; out: bucket, place, u, w, c, tables, t, mean."""
-    names = ["bucket", "place", "u", "w", "c", "tables", "t", "mean"]
+def _root(parts: int, base: float, tables: float, turn: int, samples: int, last: bool) -> Callable:
+    """Customers less discounts of the root's words, its tables drawn given the number of all its tables before: to each state those that it sent or,
+    the last time, to each bucket its own; and for each group the sums of customers and tables."""
 
-    def seated(rows: list[np.ndarray]) -> pa.RecordBatch:
-        bucket, place, u, w, c, tables, t, base = rows
-        order = np.argsort(u, kind="stable")
-        bucket, place, u, w, c, tables, t, base = (x[order] for x in (bucket, place, u, w, c, tables, t, base))
-        begins = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
-        sizes = np.diff(np.append(begins, len(u)))
-        pair = mixed(u.view(np.uint64)) + w.view(np.uint64)
-        total = np.zeros(len(u))
-        for sweep in range(BURN + (SAMPLES if last else 0)):
-            others = tables + np.repeat(np.add.reduceat(t, begins), sizes) - t
-            t = seat(c, others, base, uniform(pair, 100 * epoch + sweep), DISCOUNT, STRENGTH)
-            if last and sweep >= BURN:
-                total += t
-        mean = total / SAMPLES if last else t.astype(np.float64)
-        return pa.record_batch([pa.array(x) for x in (bucket, place, u, w, c, tables, t, mean)], names=names)
+    def seated(group: int, rows: list[tuple]) -> list[tuple]:
+        words, k, of = _summed(rows)
+        others, flat = np.full(len(k), max(0.0, tables - 1)), np.full(len(k), base)
+        mean = np.zeros(len(k))
+        for at in range(0, len(k), 10_000):
+            some = slice(at, at + 10_000)
+            mean[some] = np.mean([seat(k[some], others[some], flat[some], uniform(words[some], turn + s), ROOT_DISCOUNT, ROOT_STRENGTH) for s in range(samples)], 0)
+        left, out, at = k - ROOT_DISCOUNT * mean, [_msg(TOTALS, group, -1, np.array([k.sum(), mean.sum()], np.float64))], 0
+        if last:
+            bucket = (words % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            return out + [_msg(ROOT, b, -1, words[order[s:e]], left[order[s:e]]) for b, s, e in _by_group(words[order], parts, 1)]
+        for r in rows:
+            size = len(r[3]) // 8
+            if r[0] != ONCE:
+                out.append(_msg(r[0], r[2], group, left[of[at : at + size]]))
+            at += size
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            edges = np.flatnonzero(np.diff(cols[0])) + 1
-            for s, e in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
-                part = [c[s:e] for c in cols]
-                if held and held[-1][0][0] != part[0][0]:
-                    yield seated([np.concatenate(x) for x in zip(*held, strict=True)])
-                    held = []
-                held.append(part)
-        if held:
-            yield seated([np.concatenate(x) for x in zip(*held, strict=True)])
+        for group, rows in _gathered(batches):
+            yield from _batched(seated(group, rows))
 
     return run
 
 
-SWEPT = "bucket bigint, place bigint, u bigint, w bigint, c bigint, tables bigint, t bigint, base double, mean double"
+def _root_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for row in _each_row(batches):
+        k, mean = np.frombuffer(row[3], np.float64)
+        yield pa.record_batch([pa.array([k]), pa.array([mean])], names=["k", "mean"])
+
+
+def _with_base(rows: list[tuple], left: float, everyone: float) -> tuple[State, np.ndarray]:
+    """A state and the root's probability of each of its words, from the groups' replies in their order."""
+    return State(rows[0]), (np.concatenate([np.frombuffer(r[3], np.float64) for r in rows[1:]]) + left) / everyone
 
 
-def _sweep(turn: int, totals: dict[int, int], share: float) -> Callable:
-    """One sweep over the pairs of spread contexts, given all tables of each of these contexts; the mean grows by a share of the tables."""
+def _restaurants(epoch: int, last: bool, left: float, everyone: float) -> Callable:
+    """Sweeps over the contexts of each bucket, spread ones left out."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bucket, place, u, w, c, tables, t, base, mean = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-        contexts, of = np.unique(u, return_inverse=True)
-        others = np.array([totals[x] for x in contexts.tolist()], np.int64)[of] - t
-        t = seat(c, others, base, uniform(mixed(u.view(np.uint64)) + w.view(np.uint64), turn), DISCOUNT, STRENGTH)
-        return pa.record_batch([pa.array(x) for x in (bucket, place, u, w, c, tables, t, base, mean + share * t)], names=batch.schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _gathered(batches):
+            state, p = _with_base(rows, left, everyone)
+            base, luck, begins, t = p[state.which], state.luck(), state.begins, state.t
+            sums = np.zeros(len(t), np.int64)
+            for sweep in range(BURN + (SAMPLES if last else 0)):
+                others = np.repeat(state.once + np.add.reduceat(t, begins), state.sizes) - t
+                t = seat(state.c, others, base, uniform(luck, 100 * epoch + sweep), DISCOUNT, STRENGTH)
+                if last and sweep >= BURN:
+                    sums += t
+            yield _messages([state.again(t, sums, b"")])
 
     return run
 
 
-def _tables(rows: DataFrame) -> dict[int, int]:
-    """The sum of t for each u."""
-    return {r["u"]: r["t"] for r in rows.groupBy("u").agg(F.sum("t").alias("t")).collect()}
+def _spread(left: float, everyone: float) -> Callable:
+    """States of spread contexts with the probabilities of their words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _gathered(batches):
+            state, p = _with_base(rows, left, everyone)
+            yield _messages([state.again(state.t, state.sums, p)])
 
-def _root(customers: DataFrame, base: float, tables: float, turn: int, samples: int) -> DataFrame:
-    """(w, k, mean): the root's tables of each word, drawn given the number of all its tables before; the mean of the samples."""
+    return run
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w, k = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        others, flat = np.full(len(k), max(0.0, tables - 1)), np.full(len(k), base)
-        drawn = [seat(k, others, flat, uniform(w.view(np.uint64), turn + s), ROOT_DISCOUNT, ROOT_STRENGTH) for s in range(samples)]
-        return pa.record_batch([batch.column(0), batch.column(1), pa.array(np.mean(drawn, 0))], names=["w", "k", "mean"])
-
-    return map_arrow(customers.select("w", "k"), run, "w bigint, k bigint, mean double", rows=10_000)
-
-
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each bucket a table comes first (block -1); of kind 1 it has sorted hashes and three columns, and requests are hashes; of kind 0 it has values, and requests are places."""
-    for bucket, rows in _gathered(batches):
-        tables = {r[0]: r for r in rows if r[2] < 0}
-        out = []
-        for kind, _, block, a, *_ in rows:
-            if block < 0:
-                continue
-            table = tables.get(kind)
-            if kind == 1:
-                asked = np.frombuffer(a, np.uint64)
-                known = np.frombuffer(table[3], np.uint64) if table else np.empty(0, np.uint64)
-                at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
-                hit = known[at] == asked if len(known) else np.zeros(len(asked), bool)
-                values = [np.where(hit, np.frombuffer(table[4 + k], t)[at], 0) if table else np.zeros(len(asked), t) for k, t in enumerate((np.int64, np.float64, np.float64))]
-                out.append(_msg(1, bucket, block, values[0], values[1].astype(np.float32), values[2].astype(np.float32)))
-            else:
-                out.append(_msg(0, bucket, block, np.frombuffer(table[3], np.float32)[np.frombuffer(a, np.int32)]))
-        for k in range(0, len(out), 64):
-            yield _messages(out[k : k + 64])
 
+def _sweep(turn: int, totals: dict[int, int], sample: bool) -> Callable:
+    """One sweep over the pairs of spread contexts, given all tables of each of these contexts; samples are summed."""
 
-def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, h, n, p, t) sorted by bucket to one table each, sorted by unsigned hash."""
-    held: list[list[np.ndarray]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for state in map(State, _each_row(batches)):
+            others = np.repeat(np.array([totals[x] for x in state.contexts.view(np.int64).tolist()], np.int64), state.sizes) - state.t
+            t = seat(state.c, others, state.base[state.which], uniform(state.luck(), turn), DISCOUNT, STRENGTH)
+            yield _messages([state.again(t, state.sums + t * sample, state.base)])
 
-    def table() -> pa.RecordBatch:
-        bucket, h, n, p, t = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(h.view(np.uint64))
-        return _messages([_msg(1, int(bucket[0]), -1, h[order], n[order], p[order], t[order])])
+    return run
 
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        edges = np.flatnonzero(np.diff(cols[0])) + 1
-        for s, e in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
-            part = [c[s:e] for c in cols]
-            if held and held[-1][0][0] != part[0][0]:
-                yield table()
-                held = []
-            held.append(part)
-    if held:
-        yield table()
 
+def _tables(states: DataFrame, sums: bool = False) -> dict[int, int]:
+    """All tables of each context of these states, or their sums over the samples."""
 
-def _packed_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, place, value) sorted by the first two to one table each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for state in map(State, _each_row(batches)):
+            yield pa.record_batch([pa.array(state.contexts.view(np.int64)), pa.array(np.add.reduceat(state.sums if sums else state.t, state.begins))], names=["u", "t"])
+
+    return {r["u"]: r["t"] for r in states.mapInArrow(run, "u bigint, t bigint").groupBy("u").agg(F.sum("t").alias("t")).collect()}
+
+
+def _fixed(contexts: DataFrame, hot: np.ndarray) -> dict[int, int]:
+    """The pairs seen once of each spread context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each_row(batches):
+            u, once = np.frombuffer(row[3], np.uint64), _wide(row[4])
+            own = np.isin(u, hot)
+            yield pa.record_batch([pa.array(u[own].view(np.int64)), pa.array(once[own])], names=["u", "t"])
+
+    return {r["u"]: r["t"] for r in contexts.mapInArrow(run, "u bigint, t bigint").groupBy("u").agg(F.sum("t").alias("t")).collect()}
+
+
+def _answers(parts: int, opened: dict[int, float], left: float, everyone: float, unknown: float) -> Callable:
+    """In each bucket its tables come first (block -1): words, the root's customers, contexts, states. Requests of kind 1 are hashes, replied by the
+    tokens, the probability and the tables of each word; those of kind 0 are places, replied by the discounted counts of pairs."""
+    hot = np.array(list(opened), np.int64).view(np.uint64)
+    hot_tables = np.array(list(opened.values()), np.float64)
+
+    def words(bucket: int, tables: dict[int, tuple]) -> tuple[np.ndarray, ...]:
+        if WORDS not in tables:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0), np.empty(0)
+        h, n = np.frombuffer(tables[WORDS][3], np.uint64), np.frombuffer(tables[WORDS][4], np.int64)
+        p, t = np.full(len(h), unknown), np.zeros(len(h))
+        if ROOT in tables:
+            p[np.searchsorted(h, np.frombuffer(tables[ROOT][3], np.uint64))] = (np.frombuffer(tables[ROOT][4], np.float64) + left) / everyone
+        if CONTEXTS in tables:
+            u, once = np.frombuffer(tables[CONTEXTS][3], np.uint64), _wide(tables[CONTEXTS][4])
+            own = ~np.isin(u, hot)
+            t[np.searchsorted(h, u[own])] = once[own]
+        if COLD in tables:
+            state = State(tables[COLD])
+            t[np.searchsorted(h, state.contexts)] += np.add.reduceat(state.sums, state.begins) / SAMPLES
+        own = (hot % np.uint64(parts)).astype(np.int64) == bucket
+        t[np.searchsorted(h, hot[own])] = hot_tables[own]
+        return h, n, p, t
+
+    def values(tables: dict[int, tuple]) -> np.ndarray:
+        states = [State(tables[k]) for k in (COLD, HOT) if k in tables]
+        return np.concatenate([(x.c - DISCOUNT * (x.sums / SAMPLES)).astype(np.float32) for x in states])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _gathered(batches):
+            tables = {r[0]: r for r in rows if r[2] < 0}
+            known, *columns = words(bucket, tables)
+            of_pairs = values(tables) if any(r[0] == 0 for r in rows if r[2] >= 0) else None
+            out = []
+            for kind, _, block, a, *_ in rows:
+                if block < 0:
+                    continue
+                if kind:
+                    asked = np.frombuffer(a, np.uint64)
+                    at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+                    hit = known[at] == asked if len(known) else np.zeros(len(asked), bool)
+                    n, p, t = (np.where(hit, x[at], 0) if len(known) else np.zeros(len(asked), x.dtype) for x in columns)
+                    out.append(_msg(1, bucket, block, n, p.astype(np.float32), t.astype(np.float32)))
+                else:
+                    out.append(_msg(0, bucket, block, of_pairs[np.frombuffer(a, np.int32)]))
+            yield from _batched(out)
+
+    return run
+
+
+def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, h, n) sorted by bucket to one table each, sorted by unsigned hash."""
     held: list[list[np.ndarray]] = []
 
     def table() -> pa.RecordBatch:
-        bucket, _, value = (np.concatenate(x) for x in zip(*held, strict=True))
-        return _messages([_msg(0, int(bucket[0]), -1, value.astype(np.float32))])
+        bucket, h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(h.view(np.uint64))
+        return _messages([_msg(WORDS, int(bucket[0]), -1, h[order], n[order])])
 
     for batch in batches:
         cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -600,64 +725,61 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     frequent = [r["h"] for r in words.where(F.col("n") > total * frequent_share(parts)).select("h").collect()]  # fewer than parts
     hot = np.array(frequent, np.int64).view(np.uint64)
 
-    met = staged(_delivered(blocks.mapInArrow(_send_pairs(parts, hot), MESSAGE), parts).mapInArrow(_meet, MESSAGE), "met", by="kind")
-    contexts = _rows_of(met, 2, {"u": int, "once": int, "often": int})
-    fixed = contexts.where(F.col("u").isin(frequent)).select("u", F.col("once").alias("t"))
-    often = _rows_of(met, 1, {"u": int, "w": int, "c": int, "tables": int}).withColumn("t", F.lit(1).cast("bigint"))
-    once = staged(_rows_of(met, 3, {"w": int, "n": int}).groupBy("w").agg(F.sum("n").alias("n")), "once")
-    dropped(met, "kind=3")
+    width = -(-parts // min(parts, max(GROUPS, parts // SPREAD)))
+    groups = -(-parts // width)
+
+    met = staged(_delivered(blocks.mapInArrow(_send_pairs(parts, hot), MESSAGE), parts).mapInArrow(_meet(parts, width, hot), MESSAGE), "met", by="kind")
+    of_kind = lambda df, kind: df.where(F.col("kind") == kind).select("kind", "bucket", "block", *CELLS)
+    contexts, cold, spread = of_kind(met, CONTEXTS), of_kind(met, COLD), of_kind(met, HOT)
+    once = staged(_delivered(of_kind(met, ONCE), groups).mapInArrow(_once, MESSAGE), "once")
+    dropped(met, f"kind={ONCE}")
+    fixed = _fixed(contexts, hot) if frequent else {}
     base = 1 / (vocabulary + 1)
     tables = float(vocabulary)
 
-    def seated_root(pairs: DataFrame, turn: int, samples: int) -> tuple[DataFrame, float]:
-        """(w, p), and the probability of an unknown word."""
+    def seated_root(turn: int, samples: int, last: bool) -> tuple[DataFrame, float, float]:
+        """The root's replies; what is left to each word, and the customers with the strength: they make a word's probability."""
         nonlocal tables
-        customers = once.select("w", F.col("n").alias("k")).unionByName(pairs.select("w", F.col("t").alias("k"))).groupBy("w").agg(F.sum("k").alias("k"))
-        root = staged(_root(customers, base, tables, turn, samples), "root")
-        everyone, tables = (float(x or 0) for x in root.agg(F.sum("k"), F.sum("mean")).first())
-        left = (ROOT_STRENGTH + ROOT_DISCOUNT * tables) * base
-        shares = root.select("w", ((F.col("k") - ROOT_DISCOUNT * F.col("mean") + left) / (ROOT_STRENGTH + everyone)).alias("p"))
-        shares.staged_at = root.staged_at
-        return shares, left / (ROOT_STRENGTH + everyone)
-
-    pieces: list[DataFrame] = []  # the staged tables of often
+        sent = (cold.unionByName(spread) if frequent else cold).mapInArrow(_customers(parts, width), MESSAGE).unionByName(once)
+        root = staged(_delivered(sent, groups).mapInArrow(_root(parts, base, tables, turn, samples, last), MESSAGE), "root")
+        everyone, tables = (float(x or 0) for x in of_kind(root, TOTALS).mapInArrow(_root_sums, "k double, mean double").agg(F.sum("k"), F.sum("mean")).first())
+        return root, (ROOT_STRENGTH + ROOT_DISCOUNT * tables) * base, ROOT_STRENGTH + everyone
+
+    pieces: list[DataFrame] = []  # the staged states
     for epoch in range(EPOCHS):
-        root, _ = seated_root(often, 1000 * epoch, 1)
+        root, *scale = seated_root(1000 * epoch, 1, False)
         before, last = pieces, epoch == EPOCHS - 1
-        rows = often.select("bucket", "place", "u", "w", "c", "tables", "t").join(root, "w").select("bucket", "place", "u", "w", "c", "tables", "t", F.col("p").alias("base"))
-        cold = rows.where(~F.col("u").isin(frequent)) if frequent else rows
-        cold = cold.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-        schema = "bucket bigint, place bigint, u bigint, w bigint, c bigint, tables bigint, t bigint, mean double"
-        pieces = [staged(cold.mapInArrow(_restaurants(epoch, last), schema), "seated")]
-        often = pieces[0]
+        cold = staged(_delivered(cold.unionByName(of_kind(root, COLD)), parts).mapInArrow(_restaurants(epoch, last, *scale), MESSAGE), "seated")
+        pieces = [cold]
         if frequent:
-            spread = staged(rows.where(F.col("u").isin(frequent)).withColumn("mean", F.lit(0.0)), "spread")
+            spread = staged(_delivered(spread.unionByName(of_kind(root, HOT)), parts).mapInArrow(_spread(*scale), MESSAGE), "spread")
             for sweep in range(BURN + (SAMPLES if last else 0)):
-                totals, done = _tables(fixed.unionByName(spread.select("u", "t"))), spread
-                spread = staged(map_arrow(spread, _sweep(100 * epoch + sweep, totals, 1 / SAMPLES if sweep >= BURN else 0.0), SWEPT, rows=50_000), "spread")
+                now, done = _tables(spread), spread
+                totals = {u: fixed.get(u, 0) + now.get(u, 0) for u in frequent}
+                spread = staged(spread.mapInArrow(_sweep(100 * epoch + sweep, totals, last and sweep >= BURN), MESSAGE), "spread")
                 dropped(done)
             pieces.append(spread)
-            often = often.unionByName(spread.drop("base"))
         for table in before:
             dropped(table)
         if not epoch:
-            dropped(met, "kind=1")
+            for kind in (COLD, HOT):
+                dropped(met, f"kind={kind}")
         dropped(root)
-    root, unknown = seated_root(often, 1000 * EPOCHS, SAMPLES)
-
-    opened = contexts.select("u", F.col("once").cast("double").alias("t")).unionByName(often.select("u", F.col("mean").alias("t"))).groupBy("u").agg(F.sum("t").alias("t"))
-    known = words.join(root.withColumnRenamed("w", "h"), "h", "left").join(opened.withColumnRenamed("u", "h"), "h", "left")
-    known = known.select(_bucket("h", parts).alias("bucket"), "h", "n", F.coalesce("p", F.lit(unknown)).alias("p"), F.coalesce("t", F.lit(0.0)).alias("t"))
-    word_tables = known.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_packed_words, MESSAGE)
-    values = often.select("bucket", "place", (F.col("c") - DISCOUNT * F.col("mean")).alias("value"))
-    value_tables = values.repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "place").mapInArrow(_packed_values, MESSAGE)
-    replies = met.where("kind = 0")
-    places = replies.where("octet_length(b) > 0").select("kind", "bucket", "block", F.col("b").alias("a"), *[F.lit(None).cast("binary").alias(c) for c in "bcd"])
-    asked = word_tables.unionByName(value_tables).unionByName(blocks.mapInArrow(_ask(parts), MESSAGE)).unionByName(places)
-    answers = staged(_delivered(asked, parts).mapInArrow(_answers, MESSAGE), "answers")
+    root, *scale = seated_root(1000 * EPOCHS, SAMPLES, True)
+    unknown = scale[0] / scale[1]
+
+    sums = _tables(spread, sums=True) if frequent else {}
+    opened = {u: fixed.get(u, 0) + sums.get(u, 0) / SAMPLES for u in frequent}
+    word_tables = words.select(_bucket("h", parts).alias("bucket"), "h", "n").repartitionById(parts, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInArrow(_packed_words, MESSAGE)
+    replies = of_kind(met, REPLIES)
+    places = replies.where("octet_length(b) > 0").select("kind", "bucket", "block", F.col("b").alias("a"), *[F.lit(None).cast("binary").alias(c) for c in CELLS[1:]])
+    asked = blocks.mapInArrow(_ask(parts), MESSAGE)
+    for table in (word_tables, of_kind(root, ROOT), contexts, *pieces, places):
+        asked = asked.unionByName(table)
+    answers = staged(_delivered(asked, parts).mapInArrow(_answers(parts, opened, *scale, unknown), MESSAGE), "answers")
     for table in (root, *pieces, once, words):
         dropped(table)
-    dropped(met, "kind=2")
+    dropped(met, f"kind={CONTEXTS}")
 
     nothing = F.lit(None).cast("binary")
     codes = replies.select("block", F.lit(2).alias("kind"), "bucket", "a", nothing.alias("b"), nothing.alias("c"), F.lit(None).cast("array<bigint>").alias("doc_ids"), *[nothing.alias(x) for x in ("sizes", "words", "ids")])

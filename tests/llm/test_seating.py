@@ -41,3 +41,23 @@ def test_spread_contexts_are_seated_as_any_other(spark, monkeypatch):
     monkeypatch.setattr(pitman_yor, "frequent_share", lambda parts: 2.0)
     alone = {r["doc_id"]: r["score"] for r in pitman_yor.scores(df).collect()}
     assert all(np.isclose(alone[k], dealt[k], rtol=1e-5) for k in alone)
+
+
+def test_pairs_are_not_moved_as_rows(spark):
+    """22,500 pairs, each seen more often, travel in packed arrays: the whole job shuffles fewer rows than there are pairs."""
+    rng = np.random.default_rng(5)
+    words = np.concatenate([rng.permutation(np.stack(np.meshgrid(np.arange(150), np.arange(150)), -1).reshape(-1, 2)).ravel() for _ in range(2)])
+    texts = [" ".join(f"w{k}" for k in words[at : at + 500]) for at in range(0, len(words), 500)]
+    ids = [k for k in range(1000) if not pitman_yor.held_out(k)][: len(texts)]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id bigint, text string")
+    context = spark.sparkContext
+    context.setJobGroup("pairs", "pairs")
+    try:
+        got = pitman_yor.scores(df).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {k for j in tracker.getJobIdsForGroup("pairs") for k in tracker.getJobInfo(j).stageIds}
+    moved = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages)
+    assert len(got) == len(texts) and 0 < moved < 22_500, moved
