@@ -12,7 +12,8 @@ buckets by context, as packed arrays, and gets back what each pair needs. A buck
 (a state: contexts, words, counts, tables); before each seating it sends the distinct words of these pairs with their tables to groups of
 word buckets, where the root is seated, and gets their probabilities back. So no step moves pairs as rows. A context with more tokens than a bucket has on
 average is spread over all buckets by its next words; there are fewer of them than buckets. Its tables
-are summed over all buckets before each sweep, so that it is seated as any other. Buckets grow in number with the tokens.
+are summed over all buckets before each sweep, so that it is seated as any other. There are as many messages as buckets times blocks, and
+buckets times groups, at most: so buckets grow in number with the tokens, and with the shuffle partitions only while each still has tokens enough.
 Words and pairs go by 64-bit hashes.
 
 Null texts are empty: the end token alone. Tokens are runs without ASCII white space, A-Z lower-cased. Rows with a null
@@ -45,6 +46,7 @@ NODES, POINTS = 40, 12  # of the integral and the interpolation for others
 BLOCK = 2_200_000  # tokens of a block, about
 BUCKETS = 2  # for each shuffle partition, at least
 FULL = 4_000_000  # tokens of a bucket, about: more tokens make more buckets
+FEW, SMALL = 64, 100_000  # more buckets than FEW have SMALL tokens each at least, on average, however many shuffle partitions there are
 GROUPS, SPREAD = 64, 16  # groups of word buckets, about: this many, or a bucket's 16th if that is more
 END = b" "  # no word has a space
 
@@ -701,6 +703,10 @@ def frequent_share(parts: int) -> float:
     return 1 / parts
 
 
+def bucket_count(shuffle_partitions: int, tokens: int) -> int:
+    return max(min(BUCKETS * shuffle_partitions, max(FEW, tokens // SMALL)), -(-tokens // FULL))
+
+
 def _bucket(h: str, parts: int) -> Column:
     """An unsigned hash modulo the number of buckets."""
     high, low = F.shiftrightunsigned(h, 32), F.col(h).bitwiseAND((1 << 32) - 1)
@@ -721,7 +727,7 @@ def scores(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     words = staged(blocks.mapInArrow(taught, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "words")
     total, vocabulary = (x or 0 for x in words.agg(F.sum("n"), F.count(F.lit(1))).first())
-    parts = max(BUCKETS * partitions(spark), -(-total // FULL))
+    parts = bucket_count(partitions(spark), total)
     frequent = [r["h"] for r in words.where(F.col("n") > total * frequent_share(parts)).select("h").collect()]  # fewer than parts
     hot = np.array(frequent, np.int64).view(np.uint64)
 

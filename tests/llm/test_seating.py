@@ -61,3 +61,33 @@ def test_pairs_are_not_moved_as_rows(spark):
     stages = {k for j in tracker.getJobIdsForGroup("pairs") for k in tracker.getJobInfo(j).stageIds}
     moved = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages)
     assert len(got) == len(texts) and 0 < moved < 22_500, moved
+
+
+def test_messages_follow_the_data(spark):
+    """30,075 tokens, twice: with 96 shuffle partitions there are no more messages than 64 buckets and groups make, and scores are those of 4 partitions."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1500, 400)) for _ in range(75)] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    context, moved, scores = spark.sparkContext, [], []
+    try:
+        for n in (4, 96):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            context.setJobGroup(f"messages {n}", "messages")
+            scores.append({r["doc_id"]: r["score"] for r in pitman_yor.scores(df).collect()})
+            context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+            tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+            stages = {k for j in tracker.getJobIdsForGroup(f"messages {n}") for k in tracker.getJobInfo(j).stageIds}
+            moved.append(sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert all(np.isclose(scores[0][k], scores[1][k], rtol=1e-6) for k in scores[0])
+    assert 0 < moved[1] < 45_000, moved
+
+
+def test_many_tokens_still_make_more_buckets():
+    assert [pitman_yor.bucket_count(n, 10**6) for n in (4, 32, 211, 3000)] == [8, 64, 64, 64]
+    assert [pitman_yor.bucket_count(n, 8 * 10**6) for n in (4, 12, 211)] == [8, 24, 80]
+    assert pitman_yor.bucket_count(3000, 7 * 10**9) == 6000  # as before: a bucket has over a million tokens
+    assert pitman_yor.bucket_count(4, 7 * 10**9) == 1750
+    assert pitman_yor.bucket_count(4, 0) == 8
